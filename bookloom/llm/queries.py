@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from bookloom.llm import quality_cascade, simhash_documents
+from bookloom.llm import best_fit_packing, quality_cascade, simhash_documents, tag_path_ratios, warc_salvage
 
 
 def queries() -> dict:
     return {
+        "op3_tag_path_ratios": tag_path_ratios.op3_tag_path_ratios,
         "op4_quality_cascade": quality_cascade.op4_quality_cascade,
+        "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
+        "op8_warc_salvage": warc_salvage.op8_warc_salvage,
         "op10_simhash_near_dedup": simhash_documents.op10_simhash_near_dedup,
     }
 
