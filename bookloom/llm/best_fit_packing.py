@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.shared import read, written
+from bookloom.runtime import ship
 
 SEQUENCE_TOKENS = 4096
 END_ID = 1
@@ -123,6 +124,7 @@ def pieces(docs: DataFrame, tokenizer_path: str | None = None, length: int = SEQ
     tokenizer_path: a file every executor can read; None: the installed public one,
     looked up on each executor. _salt tells apart rows that repeat.
     """
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
 
     def of_batches(batches):

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.shared import attach, components, drop_written, read, written
+from bookloom.runtime import ship
 
 SHINGLE_WORDS = 3
 SEED = 42
@@ -48,6 +49,7 @@ def fingerprint(text: str | None) -> int:
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, fp) of every row; fp is the fingerprint as a signed long."""
+    ship(docs.sparkSession)
     kind = dict(docs.dtypes)[id_col]
 
     def of_batches(batches):

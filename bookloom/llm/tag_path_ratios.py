@@ -19,6 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from bookloom.llm.shared import read
+from bookloom.runtime import ship
 
 THRESHOLD = 0.8
 #: Weights of a node and of its first and second neighbours.
@@ -205,6 +206,7 @@ def extracted(pages: DataFrame, html_col: str = "html") -> DataFrame:
     rows that repeat give equal results; an empty table gives no rows. Existing columns
     named text or n_chars are replaced.
     """
+    ship(pages.sparkSession)
     others = [c for c in pages.columns if c not in (html_col, "text", "n_chars")]
     kinds = dict(pages.dtypes)
 

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bookloom.llm.shared import attach, drop_written, read, scratch_dir, written
+from bookloom.runtime import ship
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_A_FILE = 2000
@@ -74,6 +75,7 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True) -> None:
     Spark's text writer puts out each record's bytes; the byte it adds after a row is
     the record's own last byte, so a file is its records one after another.
     """
+    ship(pages.sparkSession)
     typed = with_record_types(pages.select("page_id", "url", "html"))
 
     def records(batches):
@@ -182,6 +184,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """Rows of kind `record` and `gap` of every file under path. A file is read by one
     task: keep files to tens of MB, as write_archives does."""
 
+    ship(spark)
+
     def number(text):
         found = re.fullmatch(r"<urn:page:(-?\d+)>", text or "")
         return int(found[1]) if found else None
