@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, quality_cascade, simhash_documents, tag_path_ratios, warc_salvage
+from bookloom.llm import best_fit_packing, context_tree, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, warc_salvage
 
 
 def queries() -> dict:
     return {
         "op3_tag_path_ratios": tag_path_ratios.op3_tag_path_ratios,
         "op4_quality_cascade": quality_cascade.op4_quality_cascade,
+        "op5_sparse_suffix": sparse_suffix.op5_sparse_suffix,
         "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
         "op7_context_tree_weighting": context_tree.op7_context_tree_weighting,
         "op8_warc_salvage": warc_salvage.op8_warc_salvage,
