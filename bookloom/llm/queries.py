@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, warc_salvage
+from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, warc_salvage
 
 
 def queries() -> dict:
     return {
+        "op2_fuzzy_line_dedup": fuzzy_lines.op2_fuzzy_line_dedup,
         "op3_tag_path_ratios": tag_path_ratios.op3_tag_path_ratios,
         "op4_quality_cascade": quality_cascade.op4_quality_cascade,
         "op5_sparse_suffix": sparse_suffix.op5_sparse_suffix,
