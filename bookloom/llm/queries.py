@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, warc_salvage
+from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
 
 
 def queries() -> dict:
     return {
+        "op1_template_decontamination": template_decontamination.op1_template_decontamination,
         "op2_fuzzy_line_dedup": fuzzy_lines.op2_fuzzy_line_dedup,
         "op3_tag_path_ratios": tag_path_ratios.op3_tag_path_ratios,
         "op4_quality_cascade": quality_cascade.op4_quality_cascade,
@@ -19,4 +20,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict:
-    return {"op4_quality_cascade": quality_cascade.ORACLE_SQL}
+    return {"op1_template_decontamination": template_decontamination.ORACLE_SQL, "op4_quality_cascade": quality_cascade.ORACLE_SQL}
