@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, quality_cascade, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
+from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, quality_cascade, secret_forest, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_best_fit_packing": best_fit_packing.op6_best_fit_packing,
         "op7_context_tree_weighting": context_tree.op7_context_tree_weighting,
         "op8_warc_salvage": warc_salvage.op8_warc_salvage,
+        "op9_secret_forest": secret_forest.op9_secret_forest,
         "op10_simhash_near_dedup": simhash_documents.op10_simhash_near_dedup,
     }
 
