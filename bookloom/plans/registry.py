@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from bookloom.plans import book_queries, text_queries
+
+_MODULES = (text_queries, book_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: pair[0] for module in _MODULES for name, pair in module.QUERIES.items()}
 
 
 def oracle_sql() -> dict:
-    return {}
+    return {name: pair[1] for module in _MODULES for name, pair in module.QUERIES.items() if pair[1]}
 
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+flagship = text_queries.flagship
