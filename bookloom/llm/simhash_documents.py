@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.shared import attach, components, drop_written, read, written
+from bookloom.llm.shared import attach, components, read, written
 from bookloom.runtime import ship
 
 SHINGLE_WORDS = 3

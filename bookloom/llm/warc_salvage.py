@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bookloom.llm.shared import attach, drop_written, read, scratch_dir, written
+from bookloom.llm.shared import attach, read, scratch_dir, written
 from bookloom.runtime import ship
 
 MIN_REVISIT_BYTES = 1000
