@@ -7,11 +7,13 @@ estimate plus half the product of its children's weighted probabilities. After t
 the share of the own estimate in that sum weighs the node's prediction against that of
 the longer contexts, so every prediction mixes the estimates of all depths.
 
-Counts are gathered from all training documents with partial sums before the shuffle;
-the trees are DataFrames of nodes, weighted from the leaves up and mixed from the root
-down by grouping and joining. Documents are dealt by hash into chunks of bounded bytes;
-a chunk asks for the words and byte strings that occur in it and gets just those, so
-neither the model nor the vocabulary is ever in one place.
+Counts are gathered from all training documents. Documents are dealt by hash into chunks
+of bounded bytes; a chunk sends one packed array of its distinct words and byte strings,
+with their training counts, to each key bucket. A bucket adds up the counts of all chunks
+and sends back to each, in the same order, the counts of its words and the log
+probabilities of its byte strings, so neither the model nor the vocabulary is ever in one
+place. A bucket of byte strings holds whole subtrees below contexts of SPLIT bytes; the
+shallower nodes, few at any size, are weighted and mixed as DataFrames in between.
 """
 
 from __future__ import annotations
@@ -20,17 +22,21 @@ from collections import Counter
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.best_fit_packing import blocks
-from bookloom.llm.shared import drop_written, read, written
+from bookloom.llm.shared import read, written
 from bookloom.runtime import ship
 
-#: Bytes of context; a node packs them and the place in the byte, so at most 6.
-DEPTH = 6
-CHUNK_BYTES = 32 << 20
+#: Bytes of context; a byte string of one more must fit a long with a byte to spare.
+DEPTH = 5
+#: Depth at which trees are cut into buckets, at least 1.
+SPLIT = 3
+BLOCK_BYTES = 1 << 20
+CHUNK_BYTES = 8 << 20
 HELD_OUT, FOLDS = 2, 7
 WORD, GRAM = 0, 1
 LOG10_OF_2 = float(np.log10(2))
@@ -54,127 +60,243 @@ def word_key(word: bytes) -> int:
     return xxhash.xxh64_intdigest(word) - (1 << 63)
 
 
-def chunk_counts(rows: pd.DataFrame) -> pd.DataFrame:
-    """(kind, key, n) of every word and byte string of a chunk; n counts training texts."""
+def pack(a: np.ndarray) -> bytes:
+    """An array of 8-byte numbers as byte planes, which compress well."""
+    return a.astype("<i8" if a.dtype.kind in "iu" else "<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+
+
+def spread(keys: np.ndarray, kind: int, n_buckets: int) -> np.ndarray:
+    """Bucket of each key: byte strings by the last SPLIT bytes of their context."""
+    own = keys.view(np.uint64) if kind == WORD else (keys.view(np.uint64) >> np.uint64(8)) & np.uint64((1 << (8 * SPLIT)) - 1)
+    mixed = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
+    return ((mixed >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
+
+
+def in_buckets(keys: np.ndarray, kind: int, n_buckets: int):
+    """(order, bucket, first, last): keys by bucket and value, the same wherever the same
+    set of keys is given."""
+    bucket = spread(keys, kind, n_buckets)
+    order = np.lexsort((keys, bucket))
+    names, first = np.unique(bucket[order], return_index=True)
+    return order, list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
+
+
+def chunk_grams(texts: list[bytes]):
+    """(first, last, number of the code at every byte, unique codes, ends) of each block."""
+    for first, last in blocks(texts, BLOCK_BYTES):
+        codes, ends = symbols(texts[first:last])
+        number, unique = pd.factorize(codes)
+        yield first, last, number.astype(np.int32), unique, ends
+
+
+def sent(rows: DataFrame) -> DataFrame:
+    """(chunk, payload): rows (doc_id, text, held_out, chunk), lower-cased, in compressed
+    Arrow batches, which are a good deal smaller to shuffle than the texts."""
+    def of_batches(batches):
+        options = pa.ipc.IpcWriteOptions(compression="zstd")
+        for batch in batches:
+            lower = [t.lower() for t in batch.column(1).to_pylist()]
+            for first, last in blocks(lower):
+                part = batch.slice(first, last - first)
+                chunk = part.column(3).to_numpy()
+                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(lower[first:last], pa.binary()), part.column(2)], names=["doc_id", "text", "held_out"])
+                names, payloads = np.unique(chunk), []
+                for c in names:
+                    sink = pa.BufferOutputStream()
+                    with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
+                        out.write_batch(rows.take(pa.array(np.flatnonzero(chunk == c))))
+                    payloads.append(sink.getvalue().to_pybytes())
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk", "payload"])
+
+    return rows.select("doc_id", "text", "held_out", "chunk").mapInArrow(of_batches, "chunk long, payload binary")
+
+
+def opened(rows: pd.DataFrame):
+    """(doc ids, texts, held out) of the payloads of a chunk, in an order of their own."""
+    table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in rows["payload"]])
+    return table["doc_id"].combine_chunks(), table["text"].to_pylist(), table["held_out"].to_numpy()
+
+
+def chunk_requests(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
+    """(chunk, kind, bucket, keys, counts) for every word and byte string of a chunk;
+    counts are of training texts."""
+    _, texts, held = opened(rows)
     words, others, grams = Counter(), set(), []
-    texts = [t.lower() for t in rows["text"].tolist()]
-    held = rows["held_out"].to_numpy(bool)
     for text, out in zip(texts, held):
-        if out:
-            others.update(text.split())
-        else:
-            words.update(text.split())
-    for first, last in blocks(texts):
-        codes, ends = symbols(texts[first:last])
+        (others if out else words).update(text.split())
+    others.difference_update(words)
+    word_keys = np.fromiter(map(word_key, (*words, *others)), np.int64, len(words) + len(others))
+    word_counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64)])
+    del words, others
+    for first, last, number, unique, ends in chunk_grams(texts):
         train = np.repeat(~held[first:last], np.diff(ends, prepend=0)).astype(np.int64)
-        number, unique = pd.factorize(codes)
-        grams.append(pd.DataFrame({"key": unique, "n": np.bincount(number, train, len(unique)).astype(np.int64)}))
-    found = pd.concat(grams).groupby("key", as_index=False)["n"].sum() if grams else pd.DataFrame({"key": [], "n": []})
-    rest = [w for w in others if w not in words]
-    keys = np.fromiter(map(word_key, (*words, *rest)), np.int64, len(words) + len(rest))
-    counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(rest), np.int64)])
-    return pd.DataFrame({
-        "chunk": rows["chunk"].iloc[0], "kind": np.repeat(np.array([WORD, GRAM], np.int32), [len(keys), len(found)]),
-        "key": np.concatenate([keys, found["key"].to_numpy(np.int64)]), "n": np.concatenate([counts, found["n"].to_numpy(np.int64)])})
+        grams.append((unique, np.bincount(number, train, len(unique)).astype(np.int64)))
+    gram_keys, number = np.unique(np.concatenate([u for u, _ in grams]), return_inverse=True)
+    gram_counts = np.bincount(number, np.concatenate([c for _, c in grams]), len(gram_keys)).astype(np.int64)
+    del grams, number, texts
+    out = []
+    for kind, keys, counts in ((WORD, word_keys, word_counts), (GRAM, gram_keys, gram_counts)):
+        order, parts = in_buckets(keys, kind, n_buckets)
+        keys, counts = keys[order], counts[order]
+        out += [(kind, b, pack(np.diff(keys[i:j], prepend=np.int64(0))), pack(counts[i:j])) for b, i, j in parts]
+    return pd.DataFrame(out, columns=["kind", "bucket", "keys", "counts"]).assign(chunk=rows["chunk"].iloc[0])
+
+
+def merged(rows: pd.DataFrame):
+    """(unique keys, summed counts, number of each key of each row, ends of rows)."""
+    keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
+    unique, number = np.unique(np.concatenate(keys), return_inverse=True)
+    counts = np.bincount(number, np.concatenate([unpack(x) for x in rows["counts"]]), len(unique))
+    return unique, counts, number, np.cumsum([len(k) for k in keys])
+
+
+def answer(rows: pd.DataFrame, values: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
+    parts = np.split(values, ends[:-1])
+    return pd.DataFrame({"chunk": rows["chunk"].to_numpy(), "kind": rows["kind"].to_numpy(), "bucket": rows["bucket"].to_numpy(), "values": [pack(p) for p in parts]})
+
+
+def word_answers(rows: pd.DataFrame) -> pd.DataFrame:
+    """Counts for every chunk; one row also has the bucket's totals."""
+    unique, counts, number, ends = merged(rows)
+    out = answer(rows, counts.astype(np.int64)[number], ends)
+    once = np.arange(len(out)) == 0
+    return out.assign(seen=np.where(once, int(counts.sum()), 0), distinct=np.where(once, int((counts > 0).sum()), 0))
 
 
 def log_gamma(x):
-    """ln gamma of a column of at least 1/2: Stirling's series at x + 7."""
+    """ln gamma of numbers or a column of at least 1/2: Stirling's series at x + 7."""
+    log = F.log if isinstance(x, Column) else np.log
     up = x + 7
     product = x * (x + 1) * (x + 2) * (x + 3) * (x + 4) * (x + 5) * (x + 6)
-    return ((up - 0.5) * F.log(up) - up + 0.5 * F.log(F.lit(2 * np.pi)) + 1 / (12 * up) - 1 / (360 * up * up * up)
-            + 1 / (1260 * F.pow(up, 5)) - 1 / (1680 * F.pow(up, 7)) - F.log(product))
+    cube = up * up * up
+    return ((up - 0.5) * log(up) - up + float(0.5 * np.log(2 * np.pi)) + 1 / (12 * up) - 1 / (360 * cube)
+            + 1 / (1260 * cube * up * up) - 1 / (1680 * cube * cube * up) - log(product))
 
 
-def with_estimate(nodes: DataFrame) -> DataFrame:
-    """nodes (zeros, ones) with `own`, the ln of their KT estimate, and `p1`, its
-    prediction of a one."""
-    z, o = F.col("zeros").cast("double"), F.col("ones").cast("double")
-    return nodes.withColumns({
-        "own": log_gamma(z + 0.5) + log_gamma(o + 0.5) - log_gamma(z + o + 1) - float(np.log(np.pi)),
-        "p1": (o + 0.5) / (z + o + 1)})
+def log_estimate(zeros, ones):
+    """ln of the KT estimate of a sequence with so many zeros and ones."""
+    return log_gamma(zeros + 0.5) + log_gamma(ones + 0.5) - log_gamma(zeros + ones + 1) - float(np.log(np.pi))
 
 
-def bits_of(grams: DataFrame) -> DataFrame:
-    """Eight rows a byte string: `node` packs its context and the position in the tree of
-    the byte's bits, `bit` is the outcome there."""
-    s = F.col("key").bitwiseAND(0xFF)
-    context = F.shiftright("key", 8)
-    bits = [F.struct(F.shiftleft(context, 8).bitwiseOR(F.lit(1 << i).bitwiseOR(F.shiftright(s, 8 - i))).alias("node"),
-                     F.shiftright(s, 7 - i).bitwiseAND(1).alias("bit")) for i in range(8)]
-    return grams.withColumn("_b", F.explode(F.array(*bits))).select(*grams.columns, "_b.node", "_b.bit")
+def parent(node, depth: int):
+    """Node with one byte of context less: a node is its context and, in the low byte,
+    the place in the tree of the next byte's bits."""
+    mask = (1 << (8 * (depth - 1))) - 1
+    if isinstance(node, Column):
+        return F.shiftleft(F.shiftright(node, 8).bitwiseAND(mask), 8).bitwiseOR(node.bitwiseAND(0xFF))
+    return ((node >> 8) & mask) << 8 | (node & 0xFF)
 
 
-def parent(node, depth: int):
-    """Node one byte of context shorter: the context keeps its last depth - 1 bytes."""
-    context = F.shiftright(node, 8).bitwiseAND((1 << (8 * (depth - 1))) - 1)
-    return F.shiftleft(context, 8).bitwiseOR(node.bitwiseAND(0xFF))
-
-
-def weighted_trees(grams: DataFrame) -> DataFrame:
-    """grams (key, n) with `logp`, log10 of the byte's probability after its context."""
-    bits = bits_of(grams)
-    level = written(with_estimate(bits.groupBy("node").agg(
-        F.sum(F.when(F.col("bit") == 0, F.col("n")).otherwise(0)).alias("zeros"), F.sum(F.when(F.col("bit") == 1, F.col("n")).otherwise(0)).alias("ones")))
-        .withColumns({"weighted": F.col("own"), "share": F.lit(1.0)}))
-    levels = [level]
-    for depth in range(DEPTH, 0, -1):
+class Subtrees:
+    """Nodes of DEPTH to SPLIT bytes of context over byte strings with their counts."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+        s, context = keys & 0xFF, keys >> 8
+        self.bit = np.stack([(s >> (7 - i)) & 1 for i in range(8)])
+        nodes = np.stack([context << 8 | (1 << i) | (s >> (8 - i)) for i in range(8)])
+        node, self.leaf = np.unique(nodes.ravel(), return_inverse=True)
+        weight = np.tile(counts, 8)
+        one = self.bit.ravel() == 1
+        zeros, ones = np.bincount(self.leaf, weight * ~one, len(node)), np.bincount(self.leaf, weight * one, len(node))
+        weighted = log_estimate(zeros, ones)
+        self.levels = [(node, (ones + 0.5) / (zeros + ones + 1), np.ones(len(node)), None)]
+        for depth in range(DEPTH, SPLIT, -1):
+            node, up = np.unique(parent(node, depth), return_inverse=True)
+            children = np.bincount(up, weighted, len(node))
+            zeros, ones = np.bincount(up, zeros, len(node)), np.bincount(up, ones, len(node))
+            own = log_estimate(zeros, ones)
+            weighted = np.logaddexp(own, children) - np.log(2)
+            share = 1 / (1 + np.exp(np.minimum(children - own, 700.0)))
+            self.levels.append((node, (ones + 0.5) / (zeros + ones + 1), share, up))
+        self.top = (node, zeros, ones, weighted)
+
+    def log10_of_keys(self, done: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """done, left: of the top nodes' parents, the prediction mixed so far and the
+        weight that is left for longer contexts."""
+        for i in range(len(self.levels) - 1, -1, -1):
+            _, p1, share, _ = self.levels[i]
+            done, left = done + left * share * p1, left * (1 - share)
+            if i:
+                up = self.levels[i][3]
+                done, left = done[up], left[up]
+        p1 = done[self.leaf].reshape(8, -1)
+        return np.log10(np.where(self.bit == 1, p1, 1 - p1)).sum(axis=0)
+
+
+def top_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+    unique, counts, _, _ = merged(rows)
+    node, zeros, ones, weighted = Subtrees(unique, counts).top
+    return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "node": node, "zeros": zeros, "ones": ones, "weighted": weighted})
+
+
+def gram_answers(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+    unique, counts, number, ends = merged(rows)
+    tree = Subtrees(unique, counts)
+    tops = tops.set_index("node").loc[tree.top[0]]
+    return answer(rows, tree.log10_of_keys(tops["done"].to_numpy(float), tops["left"].to_numpy(float))[number], ends)
+
+
+def mixed_above(tops: DataFrame) -> DataFrame:
+    """tops (bucket, node of SPLIT bytes, zeros, ones, weighted) with `done` and `left` of
+    their parents: the trees above, weighted upwards and mixed downwards."""
+    level, levels = tops.select("node", "zeros", "ones", "weighted"), []
+    for depth in range(SPLIT, 0, -1):
         above = level.groupBy(parent(F.col("node"), depth).alias("node")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children"))
+        above = above.withColumn("own", log_estimate(F.col("zeros"), F.col("ones")))
         gap = F.col("children") - F.col("own")
-        # ln(e^own / 2 + e^children / 2), without overflow
-        level = written(with_estimate(above).withColumns({
-            "weighted": F.greatest("own", "children") + F.log1p(F.exp(-F.abs(gap))) - float(np.log(2)),
-            "share": 1 / (1 + F.exp(F.least(gap, F.lit(700.0))))}))
+        level = written(above.select(
+            "node", "zeros", "ones", ((F.col("ones") + 0.5) / (F.col("zeros") + F.col("ones") + 1)).alias("p1"),
+            (F.greatest("own", "children") + F.log1p(F.exp(-F.abs(gap))) - float(np.log(2))).alias("weighted"),
+            (1 / (1 + F.exp(F.least(gap, F.lit(700.0))))).alias("share")))
         levels.append(level)
     levels.reverse()
-    mixed = levels[0].select("node", (F.col("share") * F.col("p1")).alias("sum"), (1 - F.col("share")).alias("left"))
-    for depth in range(1, DEPTH + 1):
+    mixed = levels[0].select("node", (F.col("share") * F.col("p1")).alias("done"), (1 - F.col("share")).alias("left"))
+    for depth in range(1, SPLIT):
         down = levels[depth].select("node", "share", "p1", parent(F.col("node"), depth).alias("up"))
-        above = mixed.select(F.col("node").alias("up"), F.col("sum").alias("s"), F.col("left").alias("l"))
+        above = mixed.select(F.col("node").alias("up"), F.col("done").alias("d"), F.col("left").alias("l"))
         mixed = down.join(above, "up").select(
-            "node", (F.col("s") + F.col("l") * F.col("share") * F.col("p1")).alias("sum"), (F.col("l") * (1 - F.col("share"))).alias("left"))
-    p = F.when(F.col("bit") == 1, F.col("sum")).otherwise(1 - F.col("sum"))
-    out = written(bits.select("key", "node", "bit").join(mixed, "node").groupBy("key").agg(F.sum(F.log10(p)).alias("logp")))
-    for table in levels:
-        drop_written(table)
-    return out
-
-
-def score_chunk(rows: pd.DataFrame, lookup: pd.DataFrame, tokens: int, distinct: int, ends: int) -> pd.DataFrame:
-    lookup = lookup.sort_values(["kind", "key"])
-    n_words = int((lookup["kind"] == WORD).sum())
-    keys, counts, logs = lookup["key"].to_numpy(np.int64), lookup["n"].to_numpy(np.int64)[:n_words], lookup["logp"].to_numpy(float)[n_words:]
-    word_keys, gram_keys = keys[:n_words], keys[n_words:]
-    texts = [t.lower() for t in rows["text"].tolist()]
-    total = float(tokens + distinct + 1)
+            "node", (F.col("d") + F.col("l") * F.col("share") * F.col("p1")).alias("done"), (F.col("l") * (1 - F.col("share"))).alias("left"))
+    return (tops.select("bucket", "node", parent(F.col("node"), SPLIT).alias("up"))
+            .join(mixed.select(F.col("node").alias("up"), "done", "left"), "up").select("bucket", "node", "done", "left"))
+
+
+def score_chunk(rows: pd.DataFrame, answers: pd.DataFrame, n_buckets: int, tokens: int, distinct: int, ends: int) -> pd.DataFrame:
+    ids, texts, held = opened(rows)
+    got = {(k, b): v for k, b, v in zip(answers["kind"], answers["bucket"], answers["values"])}
+
+    def values(keys, kind, dtype):
+        order, parts = in_buckets(keys, kind, n_buckets)
+        out = np.zeros(len(keys), dtype)
+        for b, i, j in parts:
+            out[order[i:j]] = unpack(got[kind, b], dtype)
+        return out
+
     numbers: dict[bytes, int] = {}
     own = []
     for text in texts:
         words = text.split()
-        for w in words:
-            if w not in numbers:
-                numbers[w] = len(numbers)
-        own.append(words)
-    wanted = np.fromiter(map(word_key, numbers), np.int64, len(numbers))
-    c = counts[np.searchsorted(word_keys, wanted)] if len(wanted) else np.zeros(0, np.int64)
+        own.append(np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int32, len(words)))
+    c = values(np.fromiter(map(word_key, numbers), np.int64, len(numbers)), WORD, "<i8")
+    del numbers
+    total = float(tokens + distinct + 1)
     logc, known = np.log10((c + 1) / total), c > 0
     end_log = float(np.log10((ends + 1) / total))
-    n_tokens, n_known, base = [], [], []
-    for words in own:
-        i = np.fromiter(map(numbers.__getitem__, words), np.int64, len(words))
-        n_tokens.append(len(words) + 1)
-        n_known.append(int(known[i].sum()) + (ends > 0))
-        base.append(float(logc[i].sum()) + end_log)
+    n_tokens, n_known = [len(i) + 1 for i in own], [int(known[i].sum()) + (ends > 0) for i in own]
+    base = [float(logc[i].sum()) + end_log for i in own]
+    coded = list(chunk_grams(texts))
+    keys = np.unique(np.concatenate([unique for _, _, _, unique, _ in coded]))
+    logs = values(keys, GRAM, "<f8")
     score = np.zeros(len(texts))
-    for first, last in blocks(texts):
-        codes, stops = symbols(texts[first:last])
-        number, unique = pd.factorize(codes)
-        values = logs[np.searchsorted(gram_keys, unique)][number]
-        score[first:last] = np.add.reduceat(values, np.concatenate([[0], stops[:-1]]))
+    for first, last, number, unique, stops in coded:
+        score[first:last] = np.add.reduceat(logs[np.searchsorted(keys, unique)][number], np.concatenate([[0], stops[:-1]]))
     sizes = np.array([len(t) + 1 for t in texts])
     return pd.DataFrame({
-        "doc_id": rows["doc_id"].to_numpy(), "held_out": rows["held_out"].to_numpy(), "n_tokens": n_tokens, "n_known": n_known, "train_tokens": tokens,
+        "doc_id": ids.to_pandas(), "held_out": held, "n_tokens": n_tokens, "n_known": n_known, "train_tokens": tokens,
         "base_score": base, "score": score, "bits_per_byte": -score / LOG10_OF_2 / sizes})
 
 
@@ -197,19 +319,21 @@ def scored(docs: DataFrame, held_out=None, chunk_bytes: int = CHUNK_BYTES) -> Da
     size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
     n_chunks = max(1, -(-size // chunk_bytes))
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long"))
-    asked = written(rows.groupBy("chunk").applyInPandas(chunk_counts, "chunk long, kind int, key long, n long"))
-    totals = written(asked.groupBy("kind", "key").agg(F.sum("n").alias("n")))
-    words = totals.where(F.col("kind") == WORD)
-    seen, distinct = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count_if(F.col("n") > 0)).first()
+    payloads = sent(rows)
+    asked = written(payloads.groupBy("chunk").applyInPandas(
+        lambda r: chunk_requests(r, n_chunks), "chunk long, kind int, bucket long, keys binary, counts binary"))
+    of_words = written(asked.where(F.col("kind") == WORD).groupBy("bucket").applyInPandas(
+        word_answers, "chunk long, kind int, bucket long, values binary, seen long, distinct long"))
+    seen, distinct = of_words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = seen + ends, distinct + (ends > 0)
-    logs = weighted_trees(totals.where(F.col("kind") == GRAM).select("key", "n"))
-    answers = words.select("key", "n", F.lit(None).cast("double").alias("logp"), F.lit(WORD).alias("kind")).unionByName(
-        logs.select("key", F.lit(0).cast("long").alias("n"), "logp", F.lit(GRAM).alias("kind")))
-    lookup = written(asked.select("chunk", "kind", "key").join(answers, ["kind", "key"]).select("chunk", "kind", "key", "n", "logp"))
-    for table in (asked, totals, logs):
-        drop_written(table)
-    return rows.groupBy("chunk").cogroup(lookup.groupBy("chunk")).applyInPandas(
-        lambda left, right: score_chunk(left, right, tokens, distinct, ends),
+    grams = asked.where(F.col("kind") == GRAM)
+    tops = written(grams.groupBy("bucket").applyInPandas(
+        top_nodes, "bucket long, node long, zeros double, ones double, weighted double"))
+    of_grams = grams.groupBy("bucket").cogroup(mixed_above(tops).groupBy("bucket")).applyInPandas(
+        gram_answers, "chunk long, kind int, bucket long, values binary")
+    answers = of_words.select("chunk", "kind", "bucket", "values").unionByName(of_grams)
+    return payloads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda left, right: score_chunk(left, right, n_chunks, tokens, distinct, ends),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 
