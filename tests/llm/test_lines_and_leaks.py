@@ -67,6 +67,39 @@ def test_line_groups(spark, words):
     assert all(n == len(t) for _, t, n in got) and "first LINE" not in got[0][1]
 
 
+def test_line_groups_by_edits_alone(spark):
+    """Every pair with a fifth of its words edited is linked, however far its fingerprints are."""
+    import random
+
+    r, rows, places = random.Random(11), [], {}
+    for i, n in enumerate([*range(4, 31), 40, 50, 75, 100]):
+        line = [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+        for k in range(6):
+            new, left = list(line), n // 5
+            if k < 2:  # replacements as evenly spread as they go
+                for j in range(left):
+                    new[(j * n + n // 2) // left] = f"x{i}y{k}z{j}"
+            elif k < 4:
+                for j in r.sample(range(n), left):
+                    new[j] = f"x{i}y{k}z{j}"
+            else:
+                for j in sorted(r.sample(range(n), n // 5 if k == 4 else n // 6), reverse=True):
+                    if k == 4:
+                        del new[j]
+                    else:
+                        new.insert(j, f"x{i}y{k}z{j}")
+            rows.append((len(rows), " ".join(new)))
+    for doc, text in rows:
+        places.setdefault(tuple(text.split()), set()).add((doc, 0))
+    edges = [(a, b) for a in places for b in places if a < b and 100 * edits(a, b) <= 20 * max(len(a), len(b))]
+    groups = defaultdict(set)
+    for w, root in roots(places, edges).items():
+        groups[root] |= places[w]
+    want = {(i, k, *min(g), (i, k) == min(g)) for g in groups.values() if len(g) > 1 for i, k in g}
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {tuple(x) for x in fuzzy_lines.line_groups(frame).collect()} == want
+
+
 def test_simhash_lanes(spark, words):
     rows = [(i, " ".join(words[: 1 + i % 40] * (1 + i // 3))) for i in range(60)]
     for r in fuzzy_lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
