@@ -3,9 +3,11 @@
 A page's text nodes are grouped by their path of open elements from the root. For each
 path the text length and the punctuation marks per node are aggregated; both series are
 smoothed over the nodes in page order and fused, and each path gets the mean of its
-nodes as a share of the best path's. What the names on the path say is fused in: page
-furniture is out, and where a page has an article or main element, being inside counts
-for a path as much as the best ratio and being outside against it. Paths over a
+nodes as a share of the best path's. What the names on the path say is fused in as a
+bounded weight: being inside an article or main element counts for a path and being
+outside against it, the more of the page's text such elements hold; names of page
+furniture count against it, the less text their element holds. Only paths through
+elements that never hold main text (nav, form and the like) are out. Paths over a
 threshold, a share of the ratios' standard deviation, are content.
 """
 
@@ -22,6 +24,8 @@ from bookloom.llm.shared import read
 from bookloom.runtime import ship
 
 THRESHOLD = 0.8
+#: Most that the names on a path add or take, of ratios of up to 1.
+CONTAINER_WEIGHT, FURNITURE_WEIGHT = 0.3, 0.5
 #: Weights of a node and of its first and second neighbours.
 SMOOTH = (0.4, 0.24, 0.06)
 
@@ -130,17 +134,31 @@ class Page:
             self.nodes.append((self.nodes[-1][0], self.block, " "))
 
 
-def evidence(path: tuple, contained: bool) -> float:
-    """What a path's names add to its score: nothing is enough against page furniture,
-    +1 inside the page's own article or main element, -1 outside it, 0 on a page
-    without. An article's own header is not furniture."""
+def vetoed(path: tuple) -> bool:
+    """A path through an element that holds no main text. An article's own header does."""
     inside = False
-    for name, words in path:
-        if name in CONTAINERS:
-            inside = True
-        if name in FURNITURE or name == "header" and not inside or words & FURNITURE_WORDS and name not in ("html", "body", "article", "main"):
-            return -math.inf
-    return (1.0 if inside else -1.0) if contained else 0.0
+    for name, _ in path:
+        inside = inside or name in CONTAINERS
+        if name in FURNITURE or name == "header" and not inside:
+            return True
+    return False
+
+
+def evidence(sizes: dict) -> dict:
+    """What each path's names add to its score. sizes: characters of the paths."""
+    total = sum(sizes.values())
+    under: dict = {}
+    for path, n in sizes.items():
+        for i, (name, words) in enumerate(path):
+            if words & FURNITURE_WORDS and name not in ("html", "body", "article", "main"):
+                under[path[:i + 1]] = under.get(path[:i + 1], 0) + n
+    inside = {path: any(name in CONTAINERS for name, _ in path) for path in sizes}
+    held = sum(n for path, n in sizes.items() if inside[path]) / total
+    out = {}
+    for path in sizes:
+        against = max((1 - under[path[:i]] / total for i in range(1, len(path) + 1) if path[:i] in under), default=0.0)
+        out[path] = CONTAINER_WEIGHT * held * (1 if inside[path] else -1) - FURNITURE_WEIGHT * against
+    return out
 
 
 def smoothed(series: list[float]) -> list[float]:
@@ -180,14 +198,19 @@ def main_text(html: str | None) -> str:
     nodes = Page(html).nodes
     if not nodes:
         return ""
-    ratios = path_scores(nodes)
+    ratios = {p: r for p, r in path_scores(nodes).items() if not vetoed(p)}
+    if not ratios:
+        return ""
     top = max(ratios.values())
-    contained = any(evidence(p, True) > 0 for p in ratios)
-    scores = {p: s / top + evidence(p, contained) for p, s in ratios.items()}
-    own = [ratios[p] / top for p, s in scores.items() if s > -math.inf]
-    mean = sum(own) / max(1, len(own))
-    spread = math.sqrt(sum((s - mean) ** 2 for s in own) / max(1, len(own)))
-    content = {p for p, s in scores.items() if s >= THRESHOLD * spread}
+    sizes = dict.fromkeys(ratios, 0)
+    for path, _, text in nodes:
+        if path in sizes:
+            sizes[path] += len(text)
+    names = evidence(sizes)
+    own = [r / top for r in ratios.values()]
+    mean = sum(own) / len(own)
+    spread = math.sqrt(sum((s - mean) ** 2 for s in own) / len(own))
+    content = {p for p, r in ratios.items() if r / top + names[p] >= THRESHOLD * spread}
     blocks, last = [], None
     for path, block, text in nodes:
         if path in content:

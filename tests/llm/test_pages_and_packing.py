@@ -26,6 +26,25 @@ def test_main_text(html, want):
     assert tag_path_ratios.main_text(html) == want
 
 
+LONG = f"{ARTICLE} And then, as it goes, some more of it; much more. {ARTICLE}"
+
+
+@pytest.mark.parametrize(("html", "lost", "left_out"), [
+    # the only articles are teasers
+    (f"<div id=a><p>{LONG}</p><p>{LONG}</p></div><div class=cards><article><a>Next one</a></article><article><a>Another</a></article></div>", [LONG], []),
+    # furniture words in a wrapper's name
+    (f"<div class='layout has-sidebar'><div class=sidebar><a>One</a><a>Two</a></div><div><p>{LONG}</p><p>{LONG}</p></div></div>", [LONG], ["One"]),
+    (f"<article><div class='article-header'><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></div></article><div class=ad>Buy</div>", [LONG], ["Buy"]),
+    # text inside an article is judged too
+    (f"<article><p>{LONG}</p><p>{LONG}</p><div class=share><a>Tweet</a></div></article>", [LONG], ["Tweet"]),
+    # no article
+    (f"<div class=menu><a>One</a><a>Two</a></div><div><p>{LONG}</p><p>{LONG}</p></div><div class=copyright>Mine</div>", [LONG], ["One", "Mine"]),
+])
+def test_main_text_by_ratios(html, lost, left_out):
+    lines = tag_path_ratios.main_text(html).split("\n")
+    assert all(x in lines for x in lost) and not any(x in lines for x in left_out)
+
+
 def test_extracted(spark):
     rows = [(1, "u", f"<article><p>{ARTICLE}</article>", "t"), (2, None, None, "t"), (2, None, None, "t"), (3, "v", "<div>" * 3000 + "deep", "t")]
     got = tag_path_ratios.extracted(spark.createDataFrame(rows, "page_id long, url string, html string, text string")).collect()
