@@ -131,13 +131,16 @@ QUERIES = {
         lambda s, d: duplicates.sentence_rows(table(s, d, "documents")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("sentence")).alias("n_chars")),
         f"WITH {_SENTENCES_SQL} SELECT doc_id, count(*) AS n, CAST(sum(length(s)) AS BIGINT) AS n_chars FROM sent GROUP BY 1"),
     "d06_similar_pairs": (
-        lambda s, d: duplicates.similar_pairs(table(s, d, "documents")),
+        lambda s, d: duplicates.similar_pairs(table(s, d, "documents"), duplicates.MAX_CHAPTERS),
         f"WITH {_PAIRS_SQL} SELECT * FROM hits"),
     "d06_similar_groups": (
-        lambda s, d: duplicates.groups(duplicates.similar_pairs(table(s, d, "documents"))),
+        lambda s, d: duplicates.groups(duplicates.similar_pairs(table(s, d, "documents"), duplicates.MAX_CHAPTERS)),
         f"""WITH RECURSIVE {_PAIRS_SQL}, e AS (SELECT a, b FROM hits UNION SELECT b, a FROM hits),
             r AS (SELECT a AS doc_id, a AS root FROM e UNION SELECT e.b, r.root FROM r JOIN e ON e.a = r.doc_id)
             SELECT doc_id, min(root) AS group_id FROM r GROUP BY 1"""),
+    # without the cap that the SQL of d06_similar_pairs and d06_similar_groups has
+    "d06_all_similar_pairs": (lambda s, d: duplicates.similar_pairs(table(s, d, "documents")), None),
+    "d06_all_similar_groups": (lambda s, d: duplicates.similar_groups(table(s, d, "documents")), None),
     "d04_relations": (
         lambda s, d: duplicates.relations(_members(s, d), ["grp"]).select("grp", "idx", "relation"),
         r"""WITH x AS (SELECT source AS grp, doc_id AS idx, length(regexp_replace(text, '[ \t\r\n\f]+', '', 'g')) AS n,

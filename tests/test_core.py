@@ -115,6 +115,23 @@ def test_duplicates(spark):
     assert {(r.doc_id, r.group_id) for r in duplicates.groups(pairs).collect()} == {(1, 1), (2, 1)}
 
 
+def test_many_copies_and_long_chains(spark):
+    """More copies than any cap, shared common sentences, and a chain of 90 links."""
+    r = random.Random(4)
+    common = [f"common sentence number {i} of all" for i in range(8)]
+    texts = {i: common[:3] + ["only the copies have this one"] for i in range(30)}
+    texts |= {100 + i: r.sample(common, r.randrange(2, 7)) + [f"own sentence {i} and {k} here" for k in range(r.randrange(3))] for i in range(30)}
+    sets = {i: set(x) for i, x in texts.items()}
+    want = {(a, b, len(sets[a] & sets[b]), min(len(sets[a]), len(sets[b]))) for a in sets for b in sets
+            if a < b and len(sets[a] & sets[b]) >= 0.6 * min(len(sets[a]), len(sets[b]))}
+    docs = spark.createDataFrame([(i, ". ".join(x)) for i, x in texts.items()], "doc_id long, text string")
+    assert {tuple(x) for x in duplicates.similar_pairs(docs).collect()} == want
+    copies = docs.where("doc_id < 30")
+    assert {tuple(x) for x in duplicates.similar_groups(copies).collect()} == {(i, 0) for i in range(30)}
+    chain = spark.createDataFrame([(i, i + 1) for i in range(90)], "a long, b long")
+    assert {tuple(x) for x in duplicates.groups(chain).collect()} == {(i, 0) for i in range(91)}
+
+
 def test_passages_are_no_boilerplate(spark):
     block = [f"a line of the passage number {i}" for i in range(7)]
     text = [*block, "unique words stand here", *block, "another unique line here", *block, "buy at our shop today", "x", "buy at our shop today", "y", "buy at our shop today"]
