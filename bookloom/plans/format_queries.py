@@ -45,6 +45,10 @@ QUERIES = {
         f"""WITH t AS (SELECT page_id, regexp_replace('read on at this place: ' || url, '//[^/]*?([a-z]+\\.[a-z]+)/', '//\\1/', 'g') AS text FROM pages),
             h AS (SELECT page_id, length(text) AS n, unnest(list_distinct(regexp_extract_all(lower(text), '{_HOST}', 1))) AS host FROM t)
             SELECT host, count(*) AS n_lines FROM h WHERE n - length(host) >= 20 GROUP BY host HAVING count(*) >= 3"""),
+    # the whole table; the SQL of the next two and of q08_realigned follows a part of the rows
+    "p12_q01_all_problems": (lambda s, d: proofreading.problems(speech(s, d)).groupBy("kind").agg(F.count(F.lit(1)).alias("n")), None),
+    "p14_all_unbalanced": (lambda s, d: speech(s, d).select("doc_id", "row", formats.n_unbalanced(F.col("text")).alias("n")).where("n > 0"), None),
+    "q08_all_realigned": (lambda s, d: speech(s, d).select("doc_id", "row", F.md5(formats.realigned_quotes(F.col("text"))).alias("digest")), None),
     "p12_q01_problems": (
         lambda s, d: proofreading.problems(speech(s, d).where("row % 8 IN (0, 3, 4, 6, 7)")).groupBy("kind").agg(F.count(F.lit(1)).alias("n")),
         f"""WITH {_SPEECH_SQL} SELECT k AS kind, count(*) AS n FROM (SELECT unnest(CASE row % 8 WHEN 0 THEN ['stuck_dialogue'] WHEN 3 THEN ['repeated_mark'] WHEN 4 THEN ['leading_mark']

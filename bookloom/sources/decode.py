@@ -63,8 +63,8 @@ def detected(data: bytes) -> str:
 
 
 def line_ending(content: Column) -> Column:
-    """CRLF or LF, by the first 64 kB."""
-    return F.when(F.hex(F.substring(content, 1, 1 << 16)).rlike("^(..)*0D0A"), "CRLF").otherwise("LF")
+    """CRLF or LF, by the whole content."""
+    return F.when(F.contains(content, F.lit(b"\r\n")), "CRLF").otherwise("LF")
 
 
 def decoded(files: DataFrame, encoding: str | None = None) -> DataFrame:

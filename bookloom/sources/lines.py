@@ -32,10 +32,9 @@ def n_invisible(text: Column) -> Column:
     return (F.regexp_count(text, F.lit(BOM)) + F.regexp_count(text, F.lit(ZERO_WIDTH))).cast("long")
 
 
-def looks_misdecoded(text: Column, chars: int = 200_000) -> Column:
-    """Over 1 % private-use, replacement or control characters in the first chars."""
-    head = F.substring(text, 1, chars)
-    return F.length(F.regexp_replace(head, f"[^{SUSPECT[1:-1]}]", "")) * 100 > F.length(head)
+def looks_misdecoded(text: Column) -> Column:
+    """Over 1 % private-use, replacement or control characters."""
+    return F.length(F.regexp_replace(text, f"[^{SUSPECT[1:-1]}]", "")) * 100 > F.length(text)
 
 
 def lines_of(docs: DataFrame) -> DataFrame:

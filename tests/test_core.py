@@ -72,6 +72,22 @@ def test_breaks_and_marks(spark):
     assert one(spark, "山門[::]", headings.unmarked) == "山門"
 
 
+def test_whole_texts_and_tables(spark, tmp_path):
+    from bookloom.sources import decode
+
+    late = spark.createDataFrame([("x" * 100_000 + "\r\n", "y" * 300_000 + "\ue000" * 30_000), ("x\n\r", "y")], "a string, b string")
+    got = late.select(decode.line_ending(F.col("a").cast("binary")).alias("e"), source.looks_misdecoded(F.col("b")).alias("m")).collect()
+    assert [tuple(r) for r in got] == [("CRLF", True), ("LF", False)]
+    # one order of each kind of line, in different books
+    orders = spark.createDataFrame([(1000 * k + k, "P", "S") for k in range(8)], "o_orderkey long, o_orderpriority string, o_orderstatus string")
+    orders.write.parquet(str(tmp_path / "orders.parquet"))
+    found = lambda name: registry.queries()[name](spark, str(tmp_path)).collect()
+    assert {r.row: r.n for r in found("p14_all_unbalanced")} == {1: 1, 2: 1}
+    assert {r.row for r in found("q08_all_realigned")} == set(range(8))
+    kinds = {r.kind: r.n for r in found("p12_q01_all_problems")}
+    assert kinds["unclosed"] == 2 and kinds["stuck_dialogue"] == 1
+
+
 def brute_merge(some, touching):
     out = []
     for s, e in sorted(some):
