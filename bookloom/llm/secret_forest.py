@@ -1,7 +1,8 @@
 """Secret scanning with a random forest against false positives.
 
 Candidates are words that could be credentials: long enough, with letters and digits, or
-assigned to a telling name. Each gets features of its length, its character transitions,
+of any kind and length where they are assigned to a telling name, in one word or over
+several. Each gets features of its length, its character transitions,
 how much of it the corpus's own frequent words cover, where it was found (the path, here
 the document's source) and the words before it. A random forest, trained on labelled
 findings, keeps the true ones. Everything runs as DataFrame functions and Spark's
@@ -41,6 +42,12 @@ FEATURES = ("f_length", "f_transitions", "f_digits", "f_upper", "f_hex", "f_dict
             "f_address", "f_path_harmless", "f_neighbour_telling", "f_neighbour_harmless", "f_distinct")
 
 
+def assigned_before(before: Column) -> Column:
+    """The words in front, nearest first, end in an assignment and have a telling name."""
+    nearest = F.coalesce(F.get(before, F.lit(0)), F.lit(""))
+    return nearest.rlike(r"(^|[^=:])(:=|=>|=|:)$") & F.coalesce(F.array_join(before, " "), F.lit("")).rlike(TELLING)
+
+
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, path, name, core, before): words that may be secrets. core: the
     word without quotes and closing punctuation, and without the name it is assigned to;
@@ -48,15 +55,18 @@ def candidates(docs: DataFrame) -> DataFrame:
     path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     likely = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9]") | F.col("text").rlike(TELLING))
     words = likely.select("doc_id", path.alias("path"), words_of(F.col("text")).alias("words"))
+    front = lambda i: F.filter(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.get("words", i - k)), lambda w: w.isNotNull())
+    # behind an assignment (a word that ends in one) or with one inside, any length
     picked = F.filter(F.transform("words", lambda w, i: F.struct(i.alias("i"), w.alias("w"))),
-                      lambda x: (F.length(x["w"]) >= MIN_LENGTH) & (x["w"].rlike("[0-9]") | x["w"].rlike("[=:]")))
+                      lambda x: ((F.length(x["w"]) >= MIN_LENGTH) & x["w"].rlike("[0-9]")) | x["w"].rlike("[=:].") |
+                      F.coalesce(F.get("words", x["i"] - 1), F.lit("")).rlike("[=:>]$"))
     found = words.select("doc_id", "path", "words", F.explode(picked).alias("x"))
     name = F.regexp_extract("x.w", r"^[\"']?([A-Za-z_.-]{2,40})[\"']?[=:]+(?=.)", 1)
     core = F.regexp_extract("x.w", r"^(?:[\"']?[A-Za-z_.-]{2,40}[\"']?[=:]+)?[\"'(\[{<]*(.*?)[\"')\]}>.,;:!?]*$", 1)
-    before = F.filter(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda k: F.get("words", F.col("x.i") - k)), lambda w: w.isNotNull())
-    rows = found.select("doc_id", "path", F.col("x.i").alias("word_no"), name.alias("name"), core.alias("core"), before.alias("before"))
-    mixed = F.col("core").rlike("[0-9]") & F.col("core").rlike(r"\p{L}")
-    return rows.where((F.length("core") >= MIN_LENGTH) & (mixed | F.col("name").rlike(TELLING)))
+    rows = found.select("doc_id", "path", F.col("x.i").alias("word_no"), name.alias("name"), core.alias("core"), front(F.col("x.i")).alias("before"))
+    mixed = (F.length("core") >= MIN_LENGTH) & F.col("core").rlike("[0-9]") & F.col("core").rlike(r"\p{L}")
+    told = F.col("name").rlike(TELLING) | assigned_before(F.col("before"))
+    return rows.where(mixed | told & F.col("core").rlike(r"[\p{L}\p{Nd}]"))
 
 
 def dictionary(docs: DataFrame) -> DataFrame:
@@ -89,8 +99,7 @@ def featured(found: DataFrame, known_words: DataFrame) -> DataFrame:
     kind = F.lit(None).cast("string")
     for name, pattern in KNOWN.items():
         kind = F.coalesce(F.when(core.rlike(pattern), name), kind)
-    last = F.coalesce(F.get("before", F.lit(0)), F.lit("")).isin("=", ":", ":=", "=>") & F.coalesce(F.get("before", F.lit(1)), F.lit("")).rlike(TELLING)
-    assigned = F.col("name").rlike(TELLING) | last
+    assigned = F.col("name").rlike(TELLING) | assigned_before(F.col("before"))
     address = core.rlike(r"@|^(https?|ftp)://|^www\.|^\d+(\.\d+){3}$|\.(com|org|net|edu|gov|io)\b")
     flags = {
         "f_length": F.least(F.length(core), F.lit(200)), "f_transitions": transitions(core), "f_digits": share("[0-9]", core), "f_upper": share(r"\p{Lu}", core),

@@ -139,6 +139,13 @@ def test_secrets(spark, no_docs):
     assert secret_forest.secrets(no_docs).count() == 0
 
 
+def test_assigned_secrets_are_candidates(spark):
+    rows = [(1, "the password: correcthorse of it"), (2, 'token = "abcdefghijkl" here'), (3, "pwd := hunter and more"), (4, "secret=abc"), (5, "see the note: nothing here"),
+            (6, "the password is plain words"), (7, "pin 1234567x here"), (8, "passphrase: 12345678")]
+    got = {(r.doc_id, r.core) for r in secret_forest.candidates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(1, "correcthorse"), (2, "abcdefghijkl"), (3, "hunter"), (4, "abc"), (7, "1234567x"), (8, "12345678")}
+
+
 def test_forest_held_out(spark):
     """Accuracy on labels the forest has not seen."""
     import random
