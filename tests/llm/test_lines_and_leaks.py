@@ -97,7 +97,26 @@ def test_line_groups_by_edits_alone(spark):
         groups[root] |= places[w]
     want = {(i, k, *min(g), (i, k) == min(g)) for g in groups.values() if len(g) > 1 for i, k in g}
     frame = spark.createDataFrame(rows, "doc_id long, text string")
-    assert {tuple(x) for x in fuzzy_lines.line_groups(frame).collect()} == want
+    assert {tuple(x) for x in fuzzy_lines.line_groups(frame, exact=True).collect()} == want
+
+
+def test_line_recall(spark):
+    """At least 0.95 of the lines with one to 20 words in a hundred edited are linked."""
+    import random
+
+    r, rows = random.Random(12), []
+    common = [f"c{i}" for i in range(40)]
+    for i in range(600):
+        n = r.choice([10, 15, 20, 30, 40, 60, 90, 150])
+        line = [r.choice(common) if r.random() < 0.35 else f"w{r.randrange(10 ** 5)}" for _ in range(n)]
+        new, k = list(line), max(1, int(n * r.uniform(0.01, 0.2)))
+        for j in r.sample(range(n), k):
+            new[j] = f"x{i}y{j}"
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(new))]
+    got = fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    groups = {x.doc_id: x.group_doc_id for x in got}
+    assert all(b == 2 * (a // 2) for a, b in groups.items())
+    assert sum(2 * i + 1 in groups for i in range(600)) >= 0.95 * 600
 
 
 def test_simhash_lanes(spark, words):
