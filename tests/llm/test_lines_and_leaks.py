@@ -126,18 +126,22 @@ def test_simhash_lanes(spark, words):
 
 
 ITEMS = [(1, "A train leaves Boston at 9 and travels 120 km in 2 hours before it meets Maria at the old bridge near the river."),
-         (2, "What is the capital of the small country that lies between the two large mountain ranges in the far north"), (3, None), (4, "too short")]
+         (2, "What is the capital of the small country that lies between the two large mountain ranges in the far north"), (3, None), (4, "too short"),
+         (5, "He saw Boston at night and saw Boston by day and left Boston at 9 and then came to Boston at 9 again to stay there for good."),
+         (6, "What is the capital of France?")]
 
 
 def test_leaks(spark, docs, no_docs):
     verbatim = "Some words first. " + ITEMS[0][1] + " And more behind it."
     renamed = ITEMS[0][1].replace("Boston", "Denver").replace("120", "450").replace("9", "7").replace("Maria", "Pedro")
-    crossed = ITEMS[0][1].replace("Boston", "Same").replace("Maria", "Same")
-    rows = [(1, verbatim), (2, renamed), (3, crossed), (4, "nothing of the kind is said here at all"), (5, None), (6, ""), (7, ITEMS[1][1].upper()), (8, ITEMS[1][1][:40]), (1, verbatim), (None, verbatim)]
+    merged = ITEMS[0][1].replace("Boston", "Same").replace("Maria", "Same")  # two values may become one
+    crossed = ITEMS[4][1].replace("Boston", "Denver", 1).replace("Boston", "Dallas").replace("9", "7", 1)
+    rows = [(1, verbatim), (2, renamed), (3, crossed), (4, "nothing of the kind is said here at all"), (5, None), (6, ""), (7, ITEMS[1][1].upper()), (8, ITEMS[1][1][:40]), (1, verbatim), (None, verbatim),
+            (9, merged), (10, "A heading\n" + ITEMS[5][1] + "\nand more"), (11, "he asked What is the capital of France? and went"), (12, ITEMS[4][1] + " " + "word " * 30_000)]
     frame = spark.createDataFrame([(i, t, "w") for i, t in rows], "doc_id long, text string, window string")
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     got = {(r.doc_id, r.item_id) for r in template_decontamination.leaks(frame, items).collect()}
-    assert got == {(1, 1), (2, 1), (7, 2)}
+    assert got == {(1, 1), (2, 1), (7, 2), (9, 1), (10, 6), (11, 6), (12, 5)}
     assert {r.doc_id for r in template_decontamination.clean(frame, items).collect()} == {3, 4, 5, 6, 8, None}
     assert template_decontamination.leaks(docs, items).count() == 0
     assert template_decontamination.leaks(no_docs, items).count() == 0
