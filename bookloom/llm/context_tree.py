@@ -7,13 +7,14 @@ estimate plus half the product of its children's weighted probabilities. After t
 the share of the own estimate in that sum weighs the node's prediction against that of
 the longer contexts, so every prediction mixes the estimates of all depths.
 
-Counts are gathered from all training documents. Documents are dealt by hash into chunks
-of bounded bytes; a chunk sends one packed array of its distinct words and byte strings,
-with their training counts, to each key bucket. A bucket adds up the counts of all chunks
-and sends back to each, in the same order, the counts of its words and the log
-probabilities of its byte strings, so neither the model nor the vocabulary is ever in one
-place. A bucket of byte strings holds whole subtrees below contexts of SPLIT bytes; the
-shallower nodes, few at any size, are weighted and mixed as DataFrames in between.
+Counts are gathered from all training documents. Runs of documents as they lie make up
+chunks of bounded bytes, written once; a chunk sends one packed array of its distinct words
+and byte strings, with their training counts, to each key bucket. A bucket adds up the
+counts of all chunks and sends back to each, in the same order, the counts of its words and
+the log probabilities of its byte strings, so neither the model nor the vocabulary is ever
+in one place. A bucket of byte strings holds whole subtrees below contexts of SPLIT bytes,
+which it weights a bounded number of byte strings at a time; the shallower nodes, few at
+any size, are weighted and mixed as DataFrames in between.
 """
 
 from __future__ import annotations
@@ -31,27 +32,33 @@ from bookloom.llm.best_fit_packing import blocks
 from bookloom.llm.shared import read, written
 from bookloom.runtime import ship
 
-#: Bytes of context; a byte string of one more must fit a long with a byte to spare.
-DEPTH = 5
-#: Depth at which trees are cut into buckets, at least 1.
+#: Bytes of context; up to MAX_DEPTH, as a byte string of one more must fit a long with a
+#: byte to spare.
+DEPTH, MAX_DEPTH = 5, 6
+#: Depth at which trees are cut into buckets.
 SPLIT = 3
 BLOCK_BYTES = 1 << 20
-CHUNK_BYTES = 8 << 20
+#: Bytes of text in a chunk, at most, but for a longer document.
+CHUNK_BYTES = 4 << 20
+#: Bytes of text for each key bucket.
+BUCKET_BYTES = 24 << 20
+#: Byte strings whose trees are weighted at once.
+TREE_KEYS = 1 << 19
 HELD_OUT, FOLDS = 2, 7
 WORD, GRAM = 0, 1
 LOG10_OF_2 = float(np.log10(2))
 
 
-def symbols(texts: list[bytes]):
+def symbols(texts: list[bytes], depth: int):
     """(codes, ends): for every byte of every text and the end sign (byte 0) behind
-    it, the DEPTH bytes before it and itself as one number. Before a text lie zeros."""
-    pad = b"\0" * DEPTH
-    joined = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8).astype(np.uint64)
-    code = np.zeros(len(joined) - DEPTH, np.uint64)
-    for i in range(DEPTH + 1):
-        code = (code << np.uint64(8)) | joined[i:len(joined) - DEPTH + i]
+    it, the depth bytes before it and itself as one number. Before a text lie zeros."""
+    pad = b"\0" * depth
+    joined = np.frombuffer(b"".join(pad + t + b"\0" for t in texts), np.uint8)
+    code = np.zeros(len(joined) - depth, np.uint64)
+    for i in range(depth + 1):
+        code = (code << np.uint64(8)) | joined[i:len(joined) - depth + i]
     sizes = np.fromiter((len(t) + 1 for t in texts), np.int64, len(texts))
-    starts = np.cumsum(sizes + DEPTH) - (sizes + DEPTH)
+    starts = np.cumsum(sizes + depth) - (sizes + depth)
     keep = np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
     return code[keep].view(np.int64), np.cumsum(sizes)
 
@@ -69,62 +76,84 @@ def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
-def spread(keys: np.ndarray, kind: int, n_buckets: int) -> np.ndarray:
+def near_context(keys: np.ndarray, depth: int) -> np.ndarray:
+    """The last SPLIT bytes of the contexts of byte strings."""
+    return (keys >> 8) & ((1 << (8 * min(SPLIT, depth))) - 1)
+
+
+def spread(keys: np.ndarray, kind: int, n_buckets: int, depth: int) -> np.ndarray:
     """Bucket of each key: byte strings by the last SPLIT bytes of their context."""
-    own = keys.view(np.uint64) if kind == WORD else (keys.view(np.uint64) >> np.uint64(8)) & np.uint64((1 << (8 * SPLIT)) - 1)
+    own = (keys if kind == WORD else near_context(keys, depth)).view(np.uint64)
     mixed = (own ^ (own >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15)
     return ((mixed >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64)
 
 
-def in_buckets(keys: np.ndarray, kind: int, n_buckets: int):
+def in_buckets(keys: np.ndarray, kind: int, n_buckets: int, depth: int):
     """(order, bucket, first, last): keys by bucket and value, the same wherever the same
     set of keys is given."""
-    bucket = spread(keys, kind, n_buckets)
+    bucket = spread(keys, kind, n_buckets, depth)
     order = np.lexsort((keys, bucket))
     names, first = np.unique(bucket[order], return_index=True)
     return order, list(zip(names.tolist(), first.tolist(), [*first[1:].tolist(), len(keys)]))
 
 
-def chunk_grams(texts: list[bytes]):
+def chunk_grams(texts: list[bytes], depth: int):
     """(first, last, number of the code at every byte, unique codes, ends) of each block."""
     for first, last in blocks(texts, BLOCK_BYTES):
-        codes, ends = symbols(texts[first:last])
+        codes, ends = symbols(texts[first:last], depth)
         number, unique = pd.factorize(codes)
         yield first, last, number.astype(np.int32), unique, ends
 
 
-def sent(rows: DataFrame) -> DataFrame:
-    """(chunk, payload): rows (doc_id, text, held_out, chunk), lower-cased, in compressed
-    Arrow batches, which are a good deal smaller to shuffle than the texts."""
+def chunks(rows: DataFrame, chunk_bytes: int) -> DataFrame:
+    """(chunk, payload, size): rows (doc_id, text, held_out), lower-cased, in compressed
+    Arrow batches of up to chunk_bytes of text. Rows stay where they are, so ids that
+    repeat and hot documents don't meet."""
     def of_batches(batches):
+        from pyspark import TaskContext
+
         options = pa.ipc.IpcWriteOptions(compression="zstd")
+        number, held, size = TaskContext.get().partitionId() << 32, [], 0
+
+        def packed():
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, held[0].schema, options=options) as out:
+                for part in held:
+                    out.write_batch(part)
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary()), pa.array([size], pa.int64())], names=["chunk", "payload", "size"])
+
         for batch in batches:
             lower = [t.lower() for t in batch.column(1).to_pylist()]
-            for first, last in blocks(lower):
-                part = batch.slice(first, last - first)
-                chunk = part.column(3).to_numpy()
-                rows = pa.RecordBatch.from_arrays([part.column(0), pa.array(lower[first:last], pa.binary()), part.column(2)], names=["doc_id", "text", "held_out"])
-                names, payloads = np.unique(chunk), []
-                for c in names:
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, rows.schema, options=options) as out:
-                        out.write_batch(rows.take(pa.array(np.flatnonzero(chunk == c))))
-                    payloads.append(sink.getvalue().to_pybytes())
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(payloads, pa.binary())], names=["chunk", "payload"])
-
-    return rows.select("doc_id", "text", "held_out", "chunk").mapInArrow(of_batches, "chunk long, payload binary")
-
-
-def opened(rows: pd.DataFrame):
-    """(doc ids, texts, held out) of the payloads of a chunk, in an order of their own."""
-    table = pa.concat_tables([pa.ipc.open_stream(p).read_all() for p in rows["payload"]])
+            first = 0
+            for i, text in enumerate(lower):
+                if size and size + len(text) > chunk_bytes:
+                    if i > first:
+                        held.append(taken(batch, lower, first, i))
+                    yield packed()
+                    number, held, size, first = number + 1, [], 0, i
+                size += len(text) + 1
+            held.append(taken(batch, lower, first, len(lower)))
+        if size:
+            yield packed()
+
+    def taken(batch, lower, first, last):
+        part = batch.slice(first, last - first)
+        return pa.RecordBatch.from_arrays([part.column(0), pa.array(lower[first:last], pa.binary()), part.column(2)], names=["doc_id", "text", "held_out"])
+
+    return rows.select("doc_id", "text", "held_out").mapInArrow(of_batches, "chunk long, payload binary, size long")
+
+
+def opened(payload: bytes):
+    """(doc ids, texts, held out) of a chunk."""
+    table = pa.ipc.open_stream(payload).read_all()
     return table["doc_id"].combine_chunks(), table["text"].to_pylist(), table["held_out"].to_numpy()
 
 
-def chunk_requests(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
-    """(chunk, kind, bucket, keys, counts) for every word and byte string of a chunk;
+def chunk_requests(chunk: int, payload: bytes, n_buckets: int, depth: int):
+    """Rows (chunk, kind, bucket, keys, counts) for every word and byte string of a chunk;
     counts are of training texts."""
-    _, texts, held = opened(rows)
+    _, texts, held = opened(payload)
     words, others, grams = Counter(), set(), []
     for text, out in zip(texts, held):
         (others if out else words).update(text.split())
@@ -132,18 +161,30 @@ def chunk_requests(rows: pd.DataFrame, n_buckets: int) -> pd.DataFrame:
     word_keys = np.fromiter(map(word_key, (*words, *others)), np.int64, len(words) + len(others))
     word_counts = np.concatenate([np.fromiter(words.values(), np.int64, len(words)), np.zeros(len(others), np.int64)])
     del words, others
-    for first, last, number, unique, ends in chunk_grams(texts):
+    for first, last, number, unique, ends in chunk_grams(texts, depth):
         train = np.repeat(~held[first:last], np.diff(ends, prepend=0)).astype(np.int64)
         grams.append((unique, np.bincount(number, train, len(unique)).astype(np.int64)))
     gram_keys, number = np.unique(np.concatenate([u for u, _ in grams]), return_inverse=True)
     gram_counts = np.bincount(number, np.concatenate([c for _, c in grams]), len(gram_keys)).astype(np.int64)
     del grams, number, texts
-    out = []
     for kind, keys, counts in ((WORD, word_keys, word_counts), (GRAM, gram_keys, gram_counts)):
-        order, parts = in_buckets(keys, kind, n_buckets)
+        order, parts = in_buckets(keys, kind, n_buckets, depth)
         keys, counts = keys[order], counts[order]
-        out += [(kind, b, pack(np.diff(keys[i:j], prepend=np.int64(0))), pack(counts[i:j])) for b, i, j in parts]
-    return pd.DataFrame(out, columns=["kind", "bucket", "keys", "counts"]).assign(chunk=rows["chunk"].iloc[0])
+        for b, i, j in parts:
+            yield chunk, kind, b, pack(np.diff(keys[i:j], prepend=np.int64(0))), pack(counts[i:j])
+
+
+def requests(payloads: DataFrame, n_buckets: int, depth: int) -> DataFrame:
+    def of_batches(batches):
+        for batch in batches:
+            for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
+                rows = list(chunk_requests(chunk, payload.as_py(), n_buckets, depth))
+                for i in range(0, len(rows), 1000):
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(x, t) for x, t in zip(zip(*rows[i:i + 1000]), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
+                        names=["chunk", "kind", "bucket", "keys", "counts"])
+
+    return payloads.select("chunk", "payload").mapInArrow(of_batches, "chunk long, kind int, bucket long, keys binary, counts binary")
 
 
 def merged(rows: pd.DataFrame):
@@ -192,9 +233,9 @@ def parent(node, depth: int):
 
 
 class Subtrees:
-    """Nodes of DEPTH to SPLIT bytes of context over byte strings with their counts."""
+    """Nodes of depth to SPLIT bytes of context over byte strings with their counts."""
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, depth: int):
         s, context = keys & 0xFF, keys >> 8
         self.bit = np.stack([(s >> (7 - i)) & 1 for i in range(8)])
         nodes = np.stack([context << 8 | (1 << i) | (s >> (8 - i)) for i in range(8)])
@@ -204,8 +245,8 @@ class Subtrees:
         zeros, ones = np.bincount(self.leaf, weight * ~one, len(node)), np.bincount(self.leaf, weight * one, len(node))
         weighted = log_estimate(zeros, ones)
         self.levels = [(node, (ones + 0.5) / (zeros + ones + 1), np.ones(len(node)), None)]
-        for depth in range(DEPTH, SPLIT, -1):
-            node, up = np.unique(parent(node, depth), return_inverse=True)
+        for d in range(depth, SPLIT, -1):
+            node, up = np.unique(parent(node, d), return_inverse=True)
             children = np.bincount(up, weighted, len(node))
             zeros, ones = np.bincount(up, zeros, len(node)), np.bincount(up, ones, len(node))
             own = log_estimate(zeros, ones)
@@ -227,24 +268,43 @@ class Subtrees:
         return np.log10(np.where(self.bit == 1, p1, 1 - p1)).sum(axis=0)
 
 
-def top_nodes(rows: pd.DataFrame) -> pd.DataFrame:
+def subtrees(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """(places, Subtrees) of about TREE_KEYS keys each; trees stay whole."""
+    context = near_context(keys, depth)
+    order = np.argsort(context, kind="stable")
+    starts = np.flatnonzero(np.diff(context[order], prepend=np.int64(-1)))
+    first = 0
+    while first < len(keys):
+        at = np.searchsorted(starts, first + TREE_KEYS)
+        last = int(starts[at]) if at < len(starts) else len(keys)
+        some = order[first:last]
+        yield some, Subtrees(keys[some], counts[some], depth)
+        first = last
+
+
+def top_nodes(rows: pd.DataFrame, depth: int) -> pd.DataFrame:
     unique, counts, _, _ = merged(rows)
-    node, zeros, ones, weighted = Subtrees(unique, counts).top
-    return pd.DataFrame({"bucket": rows["bucket"].iloc[0], "node": node, "zeros": zeros, "ones": ones, "weighted": weighted})
+    out = []
+    for _, tree in subtrees(unique, counts, depth):
+        node, zeros, ones, weighted = tree.top
+        out.append(pd.DataFrame({"bucket": rows["bucket"].iloc[0], "node": node, "zeros": zeros, "ones": ones, "weighted": weighted}))
+    return pd.concat(out)
 
 
-def gram_answers(rows: pd.DataFrame, tops: pd.DataFrame) -> pd.DataFrame:
+def gram_answers(rows: pd.DataFrame, tops: pd.DataFrame, depth: int) -> pd.DataFrame:
     unique, counts, number, ends = merged(rows)
-    tree = Subtrees(unique, counts)
-    tops = tops.set_index("node").loc[tree.top[0]]
-    return answer(rows, tree.log10_of_keys(tops["done"].to_numpy(float), tops["left"].to_numpy(float))[number], ends)
+    tops, logs = tops.set_index("node"), np.zeros(len(unique))
+    for some, tree in subtrees(unique, counts, depth):
+        own = tops.loc[tree.top[0]]
+        logs[some] = tree.log10_of_keys(own["done"].to_numpy(float), own["left"].to_numpy(float))
+    return answer(rows, logs[number], ends)
 
 
-def mixed_above(tops: DataFrame) -> DataFrame:
-    """tops (bucket, node of SPLIT bytes, zeros, ones, weighted) with `done` and `left` of
+def mixed_above(tops: DataFrame, split: int) -> DataFrame:
+    """tops (bucket, node of split bytes, zeros, ones, weighted) with `done` and `left` of
     their parents: the trees above, weighted upwards and mixed downwards."""
     level, levels = tops.select("node", "zeros", "ones", "weighted"), []
-    for depth in range(SPLIT, 0, -1):
+    for depth in range(split, 0, -1):
         above = level.groupBy(parent(F.col("node"), depth).alias("node")).agg(
             F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("weighted").alias("children"))
         above = above.withColumn("own", log_estimate(F.col("zeros"), F.col("ones")))
@@ -256,21 +316,21 @@ def mixed_above(tops: DataFrame) -> DataFrame:
         levels.append(level)
     levels.reverse()
     mixed = levels[0].select("node", (F.col("share") * F.col("p1")).alias("done"), (1 - F.col("share")).alias("left"))
-    for depth in range(1, SPLIT):
+    for depth in range(1, split):
         down = levels[depth].select("node", "share", "p1", parent(F.col("node"), depth).alias("up"))
         above = mixed.select(F.col("node").alias("up"), F.col("done").alias("d"), F.col("left").alias("l"))
         mixed = down.join(above, "up").select(
             "node", (F.col("d") + F.col("l") * F.col("share") * F.col("p1")).alias("done"), (F.col("l") * (1 - F.col("share"))).alias("left"))
-    return (tops.select("bucket", "node", parent(F.col("node"), SPLIT).alias("up"))
+    return (tops.select("bucket", "node", parent(F.col("node"), split).alias("up"))
             .join(mixed.select(F.col("node").alias("up"), "done", "left"), "up").select("bucket", "node", "done", "left"))
 
 
-def score_chunk(rows: pd.DataFrame, answers: pd.DataFrame, n_buckets: int, tokens: int, distinct: int, ends: int) -> pd.DataFrame:
-    ids, texts, held = opened(rows)
+def score_chunk(rows: pd.DataFrame, answers: pd.DataFrame, n_buckets: int, depth: int, tokens: int, distinct: int, ends: int) -> pd.DataFrame:
+    ids, texts, held = opened(rows["payload"].iloc[0])
     got = {(k, b): v for k, b, v in zip(answers["kind"], answers["bucket"], answers["values"])}
 
     def values(keys, kind, dtype):
-        order, parts = in_buckets(keys, kind, n_buckets)
+        order, parts = in_buckets(keys, kind, n_buckets, depth)
         out = np.zeros(len(keys), dtype)
         for b, i, j in parts:
             out[order[i:j]] = unpack(got[kind, b], dtype)
@@ -288,7 +348,7 @@ def score_chunk(rows: pd.DataFrame, answers: pd.DataFrame, n_buckets: int, token
     end_log = float(np.log10((ends + 1) / total))
     n_tokens, n_known = [len(i) + 1 for i in own], [int(known[i].sum()) + (ends > 0) for i in own]
     base = [float(logc[i].sum()) + end_log for i in own]
-    coded = list(chunk_grams(texts))
+    coded = list(chunk_grams(texts, depth))
     keys = np.unique(np.concatenate([unique for _, _, _, unique, _ in coded]))
     logs = values(keys, GRAM, "<f8")
     score = np.zeros(len(texts))
@@ -300,40 +360,42 @@ def score_chunk(rows: pd.DataFrame, answers: pd.DataFrame, n_buckets: int, token
         "base_score": base, "score": score, "bits_per_byte": -score / LOG10_OF_2 / sizes})
 
 
-def scored(docs: DataFrame, held_out=None, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+def scored(docs: DataFrame, held_out=None, depth: int = DEPTH, chunk_bytes: int = CHUNK_BYTES, bucket_bytes: int = BUCKET_BYTES) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     bits_per_byte) of every row.
 
     held_out: boolean column of docs; rows where it is true are scored only. Default:
-    crc32(doc_id as text) mod 7 = 2. Texts are lower-cased (A-Z) and scored with an end
-    sign. Defined cases: a null or empty text is the end sign alone; a null doc_id is
-    treated as the empty text in the fold rule and stays null; repeated rows train and
-    score each; other columns are not read, whatever their names; with no training rows
-    all estimates are 1/2; an empty table gives no rows.
+    crc32(doc_id as text) mod 7 = 2. depth: bytes of context, 1 to MAX_DEPTH. Texts are
+    lower-cased (A-Z) and scored with an end sign. Defined cases: a null or empty text is
+    the end sign alone; a null doc_id is treated as the empty text in the fold rule and
+    stays null; repeated rows train and score each; a text longer than chunk_bytes is a
+    chunk of its own; other columns are not read, whatever their names; with no training
+    rows all estimates are 1/2; an empty table gives no rows.
     """
+    if not 1 <= depth <= MAX_DEPTH:
+        raise ValueError(f"depth must be 1 to {MAX_DEPTH}")
     ship(docs.sparkSession)
     kind = dict(docs.dtypes)["doc_id"]
     if held_out is None:
         held_out = F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")) % FOLDS == HELD_OUT
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).cast("binary").alias("text"), held_out.alias("held_out"))
-    size, ends = rows.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)), F.count_if(~F.col("held_out"))).first()
-    n_chunks = max(1, -(-size // chunk_bytes))
-    rows = rows.withColumn("chunk", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_chunks)).cast("long"))
-    payloads = sent(rows)
-    asked = written(payloads.groupBy("chunk").applyInPandas(
-        lambda r: chunk_requests(r, n_chunks), "chunk long, kind int, bucket long, keys binary, counts binary"))
+    ends = rows.where("NOT held_out").count()
+    payloads = written(chunks(rows, chunk_bytes))
+    size = payloads.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0]
+    n_buckets = max(1, -(-size // bucket_bytes))
+    asked = written(requests(payloads, n_buckets, depth))
     of_words = written(asked.where(F.col("kind") == WORD).groupBy("bucket").applyInPandas(
         word_answers, "chunk long, kind int, bucket long, values binary, seen long, distinct long"))
     seen, distinct = of_words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = seen + ends, distinct + (ends > 0)
     grams = asked.where(F.col("kind") == GRAM)
     tops = written(grams.groupBy("bucket").applyInPandas(
-        top_nodes, "bucket long, node long, zeros double, ones double, weighted double"))
-    of_grams = grams.groupBy("bucket").cogroup(mixed_above(tops).groupBy("bucket")).applyInPandas(
-        gram_answers, "chunk long, kind int, bucket long, values binary")
+        lambda r: top_nodes(r, depth), "bucket long, node long, zeros double, ones double, weighted double"))
+    of_grams = grams.groupBy("bucket").cogroup(mixed_above(tops, min(SPLIT, depth)).groupBy("bucket")).applyInPandas(
+        lambda r, t: gram_answers(r, t, depth), "chunk long, kind int, bucket long, values binary")
     answers = of_words.select("chunk", "kind", "bucket", "values").unionByName(of_grams)
-    return payloads.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        lambda left, right: score_chunk(left, right, n_chunks, tokens, distinct, ends),
+    return payloads.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
+        lambda left, right: score_chunk(left, right, n_buckets, depth, tokens, distinct, ends),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, bits_per_byte double")
 
 

@@ -7,6 +7,8 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 import xxhash
 
 from bookloom.llm import context_tree, quality_cascade, simhash_documents, sparse_suffix
@@ -111,8 +113,7 @@ def test_rule_order(docs):
     assert {r.name for r in quality_cascade.measured_order(docs, rules)} == {r.name for r in rules}
 
 
-def brute_scores(rows):
-    depth = context_tree.DEPTH
+def brute_scores(rows, depth):
     train = [(i, t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
     node = defaultdict(lambda: [0, 0])
     children = defaultdict(set)
@@ -175,13 +176,32 @@ def brute_scores(rows):
     return out, sum(words.values())
 
 
-def test_scores(spark, no_docs):
-    rows = [(1, "abab abab Ab"), (2, "ba ab"), (3, ""), (4, None), (5, "xy ab"), (9, "zz\ttop é"), (9, "zz\ttop é"), (None, "ab")]
-    want, tokens = brute_scores(rows)
-    got = context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=20).collect()
+@pytest.mark.parametrize("depth", [context_tree.DEPTH, 2])
+def test_scores(spark, no_docs, depth):
+    """Chunks of a few texts, three buckets, a long text that is a chunk of its own, clashing columns."""
+    rows = [(1, "abab abab Ab"), (2, "ba ab"), (3, ""), (4, None), (5, "xy ab"), (9, "zz\ttop é"), (9, "zz\ttop é"), (None, "ab"), (10, "ab xy zz " * 12)]
+    want, tokens = brute_scores(rows, depth)
+    frame = spark.createDataFrame([(*r, "c", "p") for r in rows], "doc_id long, text string, chunk string, payload string")
+    got = context_tree.scored(frame, depth=depth, chunk_bytes=20, bucket_bytes=60).collect()
     by_id = lambda r: (str(r[0]), r[1], r[4])
     got = sorted(((r.doc_id, r.n_tokens, r.n_known, r.base_score, r.score) for r in got), key=by_id)
     for a, b in zip(got, sorted(want, key=by_id), strict=True):
         assert a[:3] == b[:3] and abs(a[3] - b[3]) < 1e-9 and abs(a[4] - b[4]) < 1e-6
-    assert tokens == context_tree.scored(spark.createDataFrame(rows, "doc_id long, text string")).first().train_tokens
+    assert tokens == context_tree.scored(frame).first().train_tokens
     assert context_tree.scored(no_docs).count() == 0
+
+
+def test_trees_in_parts(monkeypatch):
+    """Trees weighted a few keys at a time are those weighted at once."""
+    r = np.random.default_rng(1)
+    keys = np.unique(r.integers(0, 1 << 48, 4000) & 0x0303030303FF)
+    counts = r.integers(0, 5, len(keys))
+
+    def tops():
+        found = [tree.top for _, tree in context_tree.subtrees(keys, counts, 5)]
+        return len(found), sorted(zip(*(np.concatenate(x).tolist() for x in zip(*found))))
+
+    one, whole = tops()
+    monkeypatch.setattr(context_tree, "TREE_KEYS", 100)
+    many, parts = tops()
+    assert one == 1 and many > 5 and whole == parts
