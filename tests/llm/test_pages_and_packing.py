@@ -168,5 +168,21 @@ def test_tokens_of_odd_texts():
     tokenizer = Tokenizer.from_file(best_fit_packing.default_tokenizer())
     texts = ["a\x1cb c\x85d", "don't <|endoftext|> x<|startoftext|>y", "é́ Σας ΣΑΣ", "１２ 日本語。　x", "a b c", "\x0b\x0c"]
     words = best_fit_packing.WordIds(best_fit_packing.default_tokenizer())
-    for text, ids in zip(texts, words.texts([t.encode() for t in texts])):
-        assert ids[:-1].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    ids, ends = words.tokens([t.encode() for t in texts])
+    at = 0
+    for text, end in zip(texts, ends.tolist(), strict=True):
+        assert ids[at:end].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        at = end
+    assert at == len(ids)
+
+
+def test_other_tokenizers_are_refused(tmp_path):
+    """One that keeps white space gives a text other ids than its words."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    letters = {c: i for i, c in enumerate(sorted(pre_tokenizers.ByteLevel.alphabet()))}
+    tokenizer = Tokenizer(models.BPE(vocab=letters, merges=[]))
+    tokenizer.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    tokenizer.save(str(tmp_path / "t.json"))
+    with pytest.raises(ValueError, match="not those of its words"):
+        best_fit_packing.WordIds(str(tmp_path / "t.json"))
