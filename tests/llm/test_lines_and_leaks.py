@@ -63,6 +63,8 @@ def test_line_groups(spark, words):
     assert fuzzy_lines.line_groups(frame([])).count() == 0
     cleaned = fuzzy_lines.deduplicated(frame(short))
     assert cleaned.columns == ["doc_id", "text", "key", "fp", "n_chars"] and cleaned.count() == len(short)
+    odd = spark.createDataFrame([(1, "the same line\nx", 5, [1], "r"), (2, "the same line", 6, [2], "s")], "doc_id long, text string, gone long, `left` array<int>, `row` string")
+    assert sorted(tuple(r) for r in fuzzy_lines.deduplicated(odd).collect()) == [(1, "the same line\nx", 5, [1], "r"), (2, "", 6, [2], "s")]
     got = sorted((r.doc_id, r.text, r.n_chars) for r in cleaned.collect() if r.doc_id == 2)
     assert all(n == len(t) for _, t, n in got) and "first LINE" not in got[0][1]
 
