@@ -3,6 +3,9 @@ that stand a hot key, and connected components."""
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -24,17 +27,24 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder the cluster names; a temporary one where none is set (tests)."""
+    """A folder of this application in the shared one that spark.checkpoint.dir names. Only
+    where everything runs in one process (tests) and none is named, a temporary one is
+    made, which goes when the process ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="spark-")
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        local = tempfile.mkdtemp(prefix="spark-")
+        atexit.register(shutil.rmtree, local, ignore_errors=True)
+        folder = "file://" + local
         spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    return f"{folder}/{spark.sparkContext.applicationId}"
 
 
 def written(df: DataFrame) -> DataFrame:
     """Write to the shared folder and read back: computed once, lineage cut, and safe
-    against lost executors."""
+    against lost executors. The tables of an application lie in one folder, to be removed
+    when it is over; drop_written removes one before."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)

@@ -94,7 +94,8 @@ def brute_quality(text):
 
 
 def test_quality(spark, docs, rows, no_docs):
-    extra = [(900, "a b c " * 40), (901, "x\nx\n\n \nx y z"), (902, "a a a a a a"), (903, "p q r s p q r t q r s"), (904, "&&& word\t|\n" * 60), (905, "日本 語 " * 3)]
+    extra = [(900, "a b c " * 40), (901, "x\nx\n\n \nx y z"), (902, "a a a a a a"), (903, "p q r s p q r t q r s"), (904, "&&& word\t|\n" * 60), (905, "日本 語 " * 3),
+             (906, "\n".join(f"- point number{i} of many words{i}" for i in range(20))), (907, "\n".join(f"so it{i} went on and{i} on ..." for i in range(20)))]
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
     got = Counter((r.doc_id, r._n_words, r._word_chars, r._n_symbols, r._n_dup_lines, r._n_repeat_words, r._base_failed) for r in quality_cascade.judged(more).collect())
     want = Counter()
@@ -102,17 +103,37 @@ def test_quality(spark, docs, rows, no_docs):
         n, c, s, d, p = brute_quality(t)
         want[i, n, c, s, d, p, n < 50 or 100 * p > 50 * n] += 1
     assert got == want
+    reasons = {r.doc_id: r._reason for r in quality_cascade.judged(more).collect()}
+    assert reasons[906] == "bullet_lines" and reasons[907] == "unfinished_lines" and reasons[305] is None and reasons[301] == "base"
     assert quality_cascade.kept(docs).columns == docs.columns
     assert quality_cascade.judged(no_docs).count() == 0
 
 
 def test_rule_order(docs):
-    order = quality_cascade.by_rejection_per_cost([("a", 0.5, 1.0), ("b", 1.0, 4.0), ("c", 0.0, 1.0), ("d", 0.5, 1.0)])
-    assert order == ["a", "d", "b", "c"]
+    """Rejection per cost, each rule on what those before it let through."""
+    of = lambda *names: frozenset(names)
+    rejected = [(of("a", "b"), 50), (of("b"), 10), (of("c"), 20), (of("d"), 20), (of(), 100)]
+    assert quality_cascade.by_rejection_per_cost(rejected, {"a": 1.0, "b": 4.0, "c": 1.0, "d": 1.0, "e": 0.1}) == ["a", "c", "d", "b", "e"]
     rules = quality_cascade.more_rules()
     assert {r.name for r in quality_cascade.measured_order(docs, rules)} == {r.name for r in rules}
 
 
+def test_rule_costs(spark):
+    """A rule that works on the text costs more than one that compares numbers."""
+    sample = quality_cascade.base_columns(spark.createDataFrame([("some words - here " * 2000,)] * 40, "text string")).cache()
+    rules = [r for r in quality_cascade.more_rules() if r.name in ("long_words", "words_without_letters")]
+    costs = quality_cascade.measured_costs(sample, rules)
+    assert costs["words_without_letters"] > 5 * costs["long_words"] >= 0
+
+
+def test_quality_takes_any_names(spark):
+    rows = spark.createDataFrame([(1, "word " * 3, 5, True, "r"), (2, " ".join(f"w{i}rd" for i in range(80)), 6, False, "s")], "doc_id long, text string, _n_words long, _kept boolean, row string")
+    kept = quality_cascade.kept(rows)
+    assert kept.columns == rows.columns and [tuple(r)[2:] for r in kept.collect()] == [(6, False, "s")]
+    with pytest.raises(ValueError, match="_n_words"):
+        quality_cascade.judged(rows)
+
+
 def brute_scores(rows, depth):
     train = [(i, t) for i, t in rows if zlib.crc32(str("" if i is None else i).encode()) % 7 != 2]
     node = defaultdict(lambda: [0, 0])
