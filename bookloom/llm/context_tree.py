@@ -37,13 +37,15 @@ from bookloom.runtime import ship
 DEPTH, MAX_DEPTH = 5, 6
 #: Depth at which trees are cut into buckets.
 SPLIT = 3
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 19
 #: Bytes of text in a chunk, at most, but for a longer document.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 3 << 20
 #: Bytes of text for each key bucket.
-BUCKET_BYTES = 24 << 20
+BUCKET_BYTES = 6 << 20
 #: Byte strings whose trees are weighted at once.
-TREE_KEYS = 1 << 19
+TREE_KEYS = 1 << 18
+#: Bytes of keys and counts in a batch of rows for the buckets.
+BATCH_BYTES = 2 << 20
 HELD_OUT, FOLDS = 2, 7
 WORD, GRAM = 0, 1
 LOG10_OF_2 = float(np.log10(2))
@@ -175,14 +177,22 @@ def chunk_requests(chunk: int, payload: bytes, n_buckets: int, depth: int):
 
 
 def requests(payloads: DataFrame, n_buckets: int, depth: int) -> DataFrame:
+    def packed(rows):
+        kinds = (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), kinds)], names=["chunk", "kind", "bucket", "keys", "counts"])
+
     def of_batches(batches):
         for batch in batches:
             for chunk, payload in zip(batch.column(0).to_pylist(), batch.column(1)):
-                rows = list(chunk_requests(chunk, payload.as_py(), n_buckets, depth))
-                for i in range(0, len(rows), 1000):
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(x, t) for x, t in zip(zip(*rows[i:i + 1000]), (pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                        names=["chunk", "kind", "bucket", "keys", "counts"])
+                rows, size = [], 0
+                for row in chunk_requests(chunk, payload.as_py(), n_buckets, depth):
+                    rows.append(row)
+                    size += len(row[3]) + len(row[4])
+                    if size >= BATCH_BYTES:
+                        yield packed(rows)
+                        rows, size = [], 0
+                if rows:
+                    yield packed(rows)
 
     return payloads.select("chunk", "payload").mapInArrow(of_batches, "chunk long, kind int, bucket long, keys binary, counts binary")
 
@@ -190,9 +200,16 @@ def requests(payloads: DataFrame, n_buckets: int, depth: int) -> DataFrame:
 def merged(rows: pd.DataFrame):
     """(unique keys, summed counts, number of each key of each row, ends of rows)."""
     keys = [np.cumsum(unpack(x)) for x in rows["keys"]]
-    unique, number = np.unique(np.concatenate(keys), return_inverse=True)
-    counts = np.bincount(number, np.concatenate([unpack(x) for x in rows["counts"]]), len(unique))
-    return unique, counts, number, np.cumsum([len(k) for k in keys])
+    ends = np.cumsum([len(k) for k in keys])
+    keys = np.concatenate(keys)
+    unique, number = np.unique(keys, return_inverse=True)
+    del keys
+    number = number.astype(np.int32)
+    counts, at = np.zeros(len(unique)), 0
+    for packed, end in zip(rows["counts"], ends.tolist()):
+        counts[number[at:end]] += unpack(packed)  # keys of a row are distinct
+        at = end
+    return unique, counts, number, ends
 
 
 def answer(rows: pd.DataFrame, values: np.ndarray, ends: np.ndarray) -> pd.DataFrame:
