@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from bookloom.functions.chars import half_width_digits
+from bookloom.functions.markup import bind
 
 #: Numeral forms folded before reading: financial, simplified and variant forms.
 FOLD_FROM = "〇壹貳參肆伍陸柒捌玖貮叁弍兩两拾佰仟万"
@@ -14,41 +15,34 @@ FOLD_TO = "零一二三四五六七八九二三二二二十百千萬"
 MOST = 10 ** 9
 
 
-def _digit(c: Column) -> Column:
-    return F.coalesce(F.element_at(F.create_map(*[x for i, d in enumerate("零一二三四五六七八九") for x in (F.lit(d), F.lit(i))]), c), F.lit(0))
-
-
-def _section(text: Column) -> Column:
-    """Value of a numeral below 10^4 such as 三千零五十; bare 十 counts as one ten."""
-    chars = F.filter(F.split(text, ""), lambda c: c != "")
-    zero = F.struct(F.lit(0).cast("long").alias("sum"), F.lit(-1).cast("long").alias("digit"))
+def _with_units(text: Column) -> Column:
+    """Value of a numeral with units such as 三千零五十 or 一億二千萬; bare 十 counts as one
+    ten. One pass: what is closed by 萬 or 億, the section since, the last digit (-1: none)."""
+    def state(total, section, digit):
+        return F.struct(total.cast("long").alias("total"), section.cast("long").alias("section"), digit.cast("long").alias("digit"))
 
     def step(acc, c):
         unit = F.when(c == "十", 10).when(c == "百", 100).when(c == "千", 1000)
-        own = F.when(acc["digit"] < 0, 1).otherwise(acc["digit"])
-        return F.when(unit.isNotNull(), F.struct((acc["sum"] + own * unit).cast("long").alias("sum"), F.lit(-1).cast("long").alias("digit"))).when(
-            c == "零", F.struct(acc["sum"].alias("sum"), F.lit(-1).cast("long").alias("digit"))).otherwise(
-            F.struct(acc["sum"].alias("sum"), _digit(c).cast("long").alias("digit")))
+        large = F.when(c == "萬", 10_000).when(c == "億", 100_000_000)
+        open_ = acc["section"] + F.greatest(acc["digit"], F.lit(0))
+        return F.when(unit.isNotNull(), state(acc["total"], acc["section"] + F.when(acc["digit"] < 0, 1).otherwise(acc["digit"]) * unit, F.lit(-1))).when(
+            large.isNotNull(), state(acc["total"] + open_ * large, F.lit(0), F.lit(-1))).when(
+            c == "零", state(acc["total"], acc["section"], F.lit(-1))).otherwise(state(acc["total"], acc["section"], F.instr(F.lit("一二三四五六七八九"), c)))
 
-    return F.aggregate(chars, zero, step, lambda acc: acc["sum"] + F.greatest(acc["digit"], F.lit(0)))
+    chars = F.filter(F.split(text, ""), lambda c: c != "")
+    return F.aggregate(chars, state(F.lit(0), F.lit(0), F.lit(-1)), step, lambda acc: (acc["total"] + acc["section"] + F.greatest(acc["digit"], F.lit(0))).cast("double"))
 
 
 def number(text: Column) -> Column:
     """Number that a numeral means, or 0 (Arabic of either width with decimals, digit by
     digit as 二〇一, or with units up to 萬 and 億); over MOST: 0."""
-    t = F.translate(half_width_digits(text), FOLD_FROM, FOLD_TO)
-    arabic = t.rlike(r"^[0-9]{1,15}(\.[0-9]+)?$")
-    positional = t.rlike("^[零一二三四五六七八九]+$")
-    by_digit = F.translate(t, "零一二三四五六七八九", "0123456789")
-    with_units = t.rlike("^[零一二三四五六七八九十百千萬億]+$")
-    hundred_millions = F.when(t.contains("億"), F.substring_index(t, "億", 1)).otherwise("")
-    below = F.when(t.contains("億"), F.substring_index(t, "億", -1)).otherwise(t)
-    ten_thousands = F.when(below.contains("萬"), F.substring_index(below, "萬", 1)).otherwise("")
-    ones = F.when(below.contains("萬"), F.substring_index(below, "萬", -1)).otherwise(below)
-    value = F.when(arabic, t.try_cast("double")).when(
-        positional, by_digit.try_cast("double")).when(
-        with_units, (_section(hundred_millions) * 100_000_000 + _section(ten_thousands) * 10_000 + _section(ones)).cast("double"))
-    return F.when(value <= MOST, value).otherwise(F.lit(0.0))
+    def value(t):
+        return F.when(t.rlike(r"^[0-9]{1,15}(\.[0-9]+)?$"), t.try_cast("double")).when(
+            t.rlike("^[零一二三四五六七八九]+$"), F.translate(t, "零一二三四五六七八九", "0123456789").try_cast("double")).when(
+            t.rlike("^[零一二三四五六七八九十百千萬億]{1,30}$"), _with_units(t))
+
+    # bound, as each stands more than once
+    return bind(bind(F.translate(half_width_digits(text), FOLD_FROM, FOLD_TO), value), lambda v: F.when(v <= MOST, v).otherwise(F.lit(0.0)))
 
 
 def _four(n: Column) -> Column:
@@ -67,7 +61,8 @@ def _numeral(d: Column) -> Column:
 
 def chinese(n: Column) -> Column:
     """Traditional numeral of 0 <= n < 10^8; 10..19 begin with 十."""
-    high, low = F.floor(n / 10_000), n % 10_000
-    gap = F.when((low > 0) & (low < 1000), F.lit("零")).otherwise("")
-    joined = F.when(high == 0, _four(low)).otherwise(F.concat(_four(high), F.lit("萬"), gap, F.when(low > 0, _four(low)).otherwise("")))
-    return F.when(n == 0, F.lit("零")).otherwise(F.regexp_replace(joined, "^一十", "十"))
+    def below(low):
+        return bind(_four(low), lambda four: bind(F.floor(n / 10_000), lambda high: F.when(high == 0, four).otherwise(
+            F.concat(_four(high), F.lit("萬"), F.when((low > 0) & (low < 1000), F.lit("零")).otherwise(""), four))))
+
+    return F.when(n == 0, F.lit("零")).otherwise(F.regexp_replace(bind(n % 10_000, below), "^一十", "十"))
