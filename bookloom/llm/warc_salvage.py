@@ -1,9 +1,9 @@
 """WARC archives: a writer with revisit records and a reader that salvages.
 
-The writer makes one gzip member a record. The reader checks every member and record
-(header, lengths, payload digest); after a failed check it searches for the next place
-where a whole member or an uncompressed record starts, goes on there, and logs the bytes
-between as a quarantined gap.
+The writer makes one gzip member a record. The reader takes records of any type, with or
+without digests, and checks every member and record (header, lengths, what digests there
+are); after a failed check it searches for the next place where a whole member or an
+uncompressed record starts, goes on there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -23,12 +23,14 @@ from bookloom.llm.shared import attach, read, scratch_dir, written
 from bookloom.runtime import ship
 
 MIN_REVISIT_BYTES = 1000
-RECORDS_A_FILE = 2000
+#: Bytes of payload in an archive, about: a file is read by one task.
+FILE_BYTES = 32 << 20
+MAX_RECORDS_A_FILE = 20_000
 DATE = "1970-01-01T00:00:00Z"
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
 IDENTICAL = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
-VERSION = re.compile(rb"WARC/1\.[01]\r\n")
-START = re.compile(rb"\x1f\x8b\x08|WARC/1\.[01]\r\n")
+VERSION = re.compile(rb"WARC/(?:1\.[01]|0\.1[78])\r\n")
+START = re.compile(rb"\x1f\x8b\x08|" + VERSION.pattern)
 STEP = 1 << 16
 #: A gzip member ends with the high byte of its length, 0 below this many bytes.
 SMALL = 1 << 24
@@ -77,6 +79,8 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True) -> None:
     """
     ship(pages.sparkSession)
     typed = with_record_types(pages.select("page_id", "url", "html"))
+    mean = pages.agg(F.avg(F.octet_length(F.coalesce("html", F.lit(""))))).first()[0] or 0
+    records_a_file = int(min(MAX_RECORDS_A_FILE, max(1, FILE_BYTES // (mean + 500))))
 
     def records(batches):
         for batch in batches:
@@ -88,40 +92,67 @@ def write_archives(pages: DataFrame, path: str, compress: bool = True) -> None:
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], names=["record"])
 
     (typed.mapInArrow(records, "record binary").select(F.col("record").cast("string").alias("value"))
-     .write.option("lineSep", "\0" if compress else "\n").option("maxRecordsPerFile", RECORDS_A_FILE).text(path))
+     .write.option("lineSep", "\0" if compress else "\n").option("maxRecordsPerFile", records_a_file).text(path))
+
+
+def digest_of(text: str):
+    """(algorithm, digest in hex) of sha1:..., in hex or base32; the algorithm is None
+    where it is none of hashlib's or the digest has another length."""
+    name, _, value = text.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return None, value.strip().lower()
+    size = hashlib.new(name, usedforsecurity=False).digest_size
+    value = value.strip()
+    if re.fullmatch(rf"[0-9A-Fa-f]{{{2 * size}}}", value):
+        return name, value.lower()
+    try:
+        decoded = base64.b32decode(value.upper() + "=" * (-len(value) % 8))
+    except ValueError:
+        return None, value.lower()
+    return (name if len(decoded) == size else None), decoded.hex()
+
+
+def check_digest(fields: dict, name: str, data: bytes) -> None:
+    algorithm, want = digest_of(fields[name]) if name in fields else (None, "")
+    if algorithm and hashlib.new(algorithm, data, usedforsecurity=False).hexdigest() != want:
+        raise ValueError(name.removeprefix("warc-").replace("-", " ") + " differs")
 
 
 def parse_record(data, at: int = 0):
     """(fields, payload, end) of the uncompressed record at `at`; ValueError says what
-    is wrong with it."""
+    is wrong with it. The payload of an HTTP message is what stands behind its head, that
+    of any other record its block."""
     match = VERSION.match(data, at)
     if not match:
         raise ValueError("no version line")
     stop = data.find(b"\r\n\r\n", at)
     if stop < 0:
         raise ValueError("header without end")
-    fields = {}
+    fields, name = {}, ""
     for line in bytes(data[match.end():stop]).decode("utf-8", "replace").split("\r\n"):
+        if line[:1] in (" ", "\t") and name:  # a folded line
+            fields[name] += " " + line.strip()
+            continue
         name, colon, value = line.partition(":")
         if not colon:
             raise ValueError("header line without colon")
-        fields[name.strip().lower()] = value.strip()
-    if not fields.get("content-length", "").isdigit():
+        name = name.strip().lower()
+        fields[name] = value.strip()
+    if not re.fullmatch("[0-9]{1,15}", fields.get("content-length", "")):
         raise ValueError("no content length")
     first = stop + 4
     end = first + int(fields["content-length"])
     if bytes(data[end:end + 4]) != b"\r\n\r\n":
         raise ValueError("record without end")
     block = bytes(data[first:end])
-    head, gap, payload = block.partition(b"\r\n\r\n")
-    if not gap:
-        raise ValueError("block without payload")
-    digest = fields.get("warc-payload-digest", "")
-    if fields.get("warc-type") == "response":
-        if digest != "sha1:" + base64.b32encode(hashlib.sha1(payload).digest()).decode():
-            raise ValueError("payload digest differs")
-    elif not re.fullmatch(r"sha1:[A-Z2-7]{32}", digest):
-        raise ValueError("no payload digest")
+    check_digest(fields, "warc-block-digest", block)
+    payload = block
+    if fields.get("content-type", "").lower().startswith("application/http") or block[:5] == b"HTTP/":
+        head, gap, body = block.partition(b"\r\n\r\n")
+        payload = body if gap else b""
+    if fields.get("warc-type") in ("response", "resource", "conversion") and "warc-segment-number" not in fields:
+        check_digest(fields, "warc-payload-digest", payload)
     return fields, payload, end + 4
 
 
@@ -181,8 +212,9 @@ READ_SCHEMA = ("path string, kind string, offset long, length long, reason strin
 
 
 def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """Rows of kind `record` and `gap` of every file under path. A file is read by one
-    task: keep files to tens of MB, as write_archives does."""
+    """Rows of kind `record` and `gap` of every file under path. page_id is null where a
+    record's id is none that write_archives makes; a missing payload digest is computed. A
+    file is read by one task, which holds it: files of up to some hundred MB."""
 
     ship(spark)
 
@@ -204,7 +236,8 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
                         size = fields.get("x-payload-length", "")
                         row |= {"record_type": fields.get("warc-type"), "page_id": number(fields.get("warc-record-id")), "url": fields.get("warc-target-uri"),
                                 "payload_bytes": int(size) if size.isdigit() else len(payload), "refers_to": number(fields.get("warc-refers-to")),
-                                "payload_digest": base64.b32decode(fields["warc-payload-digest"][5:]).hex(), "payload": payload if payloads else None}
+                                "payload_digest": digest_of(fields["warc-payload-digest"])[1] if "warc-payload-digest" in fields else hashlib.sha1(payload, usedforsecurity=False).hexdigest(),
+                                "payload": payload if payloads else None}
                     rows.append(row)
                     if len(rows) == 500:
                         yield to_batch(rows)

@@ -105,6 +105,30 @@ def test_salvage(compress):
     assert [f[0] for f in warc_salvage.salvage(b"nothing here")] == ["gap"]
 
 
+def test_other_archives():
+    """Records of all types, without digests or with other ones, in plain and compressed files."""
+    import base64
+    import gzip
+
+    def record(kind, block, *more, version="1.1"):
+        head = "\r\n".join([f"WARC/{version}", f"WARC-Type: {kind}", "WARC-Record-ID: <urn:uuid:1>", *more, f"Content-Length: {len(block)}"])
+        return head.encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+    http = b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody"
+    sha256 = hashlib.sha256(b"body").hexdigest()
+    good = [record("warcinfo", b"software: x\r\n"), record("response", http, "Content-Type: application/http;msgtype=response"), record("request", b"GET / HTTP/1.1\r\n\r\n", "Content-Type: application/http"),
+            record("response", http, f"WARC-Payload-Digest: sha256:{sha256}", version="1.0"), record("resource", b"data", "WARC-Block-Digest: sha1:" + base64.b32encode(hashlib.sha1(b"data").digest()).decode()),
+            record("metadata", b"", "Folded: a", " b"), record("conversion", b"text", "WARC-Payload-Digest: blake9:abc"), record("continuation", b"rest", "WARC-Segment-Number: 2")]
+    bad = [record("response", http, "WARC-Payload-Digest: sha256:" + "0" * 64), record("resource", b"data", "WARC-Block-Digest: md5:" + "0" * 32)]
+    payloads = [b"software: x\r\n", b"body", b"", b"body", b"data", b"", b"text", b"rest"]
+    for pack in (lambda x: x, gzip.compress):
+        found = list(warc_salvage.salvage(b"".join(map(pack, good))))
+        assert [f[0] for f in found] == ["record"] * len(good) and [f[4] for f in found] == payloads
+        mixed = list(warc_salvage.salvage(pack(good[0]) + pack(bad[0]) + pack(good[1]) + pack(bad[1])))
+        assert [f[0] for f in mixed] == ["record", "gap", "record", "gap"] and "payload digest" in mixed[1][3] and "block digest" in mixed[3][3]
+    assert warc_salvage.digest_of("sha1:3I42H3S6NNFQ2MSVX7XZKYAYSCX5QBYJ") == ("sha1", hashlib.sha1(b"").hexdigest())
+
+
 def test_large_member_ends_with_zero(monkeypatch):
     import gzip
 
