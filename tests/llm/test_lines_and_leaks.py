@@ -171,6 +171,19 @@ def test_assigned_secrets_are_candidates(spark):
     assert got == {(1, "correcthorse"), (2, "abcdefghijkl"), (3, "hunter"), (4, "abc"), (7, "1234567x"), (8, "12345678")}
 
 
+def test_made_examples_held_out(spark):
+    """Accuracy on half of the made examples when the forest has seen the other half."""
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.sql import functions as F
+
+    known = spark.createDataFrame([(w,) for w in ("alpha", "river", "mountain", "letter", "window", "garden", "paper", "stone")], "run string")
+    made = secret_forest.made_labels(spark, known).cache()
+    assert made.where("label = 1").count() > 500 and made.where("label = 0").count() > 500
+    scored = secret_forest.trained(made.where("doc_id % 4 < 2")).transform(made.where("doc_id % 4 >= 2"))
+    right = scored.select((F.get(vector_to_array("probability"), F.lit(1)) >= 0.5).cast("double").alias("p"), "label").agg(F.avg((F.col("p") == F.col("label")).cast("double"))).first()[0]
+    assert right >= 0.9
+
+
 def test_forest_held_out(spark):
     """Accuracy on labels the forest has not seen."""
     import random
