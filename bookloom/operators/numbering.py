@@ -12,7 +12,7 @@ from bookloom.runtime import ship
 def missing_ranges(numbers: DataFrame, group: list[str], mode: str = "middle") -> DataFrame:
     """(group, first_missing, last_missing) between present numbers; mode "from_one" also
     looks before the first, "continue" before the first down to the previous group's
-    last (groups ordered by their last group column)."""
+    last (groups ordered by their last group column within the ones before)."""
     distinct = numbers.select(*group, "number").distinct()
     order = Window.partitionBy(*group).orderBy("number")
     before = F.lag("number").over(order)
@@ -21,7 +21,9 @@ def missing_ranges(numbers: DataFrame, group: list[str], mode: str = "middle") -
     rows = distinct.withColumn("_before", before)
     if mode == "continue":
         ends = distinct.groupBy(*group).agg(F.max("number").alias("_last"))
-        by_group = Window.partitionBy(*group[:-1]).orderBy(group[-1]) if group[:-1] else Window.partitionBy(F.lit(0)).orderBy(group[-1])
+        if len(group) < 2:
+            raise ValueError("the groups of one work can be continued: give the work's column first")
+        by_group = Window.partitionBy(*group[:-1]).orderBy(group[-1])
         ends = ends.withColumn("_previous", F.lag("_last").over(by_group)).select(*group, "_previous")
         rows = rows.join(ends, group).withColumn("_before", F.coalesce("_before", F.when(F.col("_previous") < F.col("number"), F.col("_previous"))))
     return rows.where(F.col("number") - F.col("_before") > 1).select(

@@ -9,13 +9,15 @@ LONGER_SHARE, LONGER_CHARS = 1.2, 300
 
 
 def plan(old: DataFrame, new: DataFrame, key: list[str]) -> DataFrame:
-    """old and new (key, idx, n_chars), key unique within each: a row per new chapter
+    """old and new (key, idx, n_chars), key unique within each and its first column the
+    book's: a row per new chapter
     with status same, longer (worth taking), missing (belongs after old chapter
     `position`) or new (behind the last), and suggested."""
     left = old.select(*key, F.col("idx").alias("body_idx"), F.col("n_chars").alias("body_chars"))
     both = new.withColumnRenamed("idx", "new_idx").withColumnRenamed("n_chars", "new_chars").join(left, key, "left")
-    by_doc = key[:-1]
-    order = (Window.partitionBy(*by_doc) if by_doc else Window.partitionBy(F.lit(0))).orderBy("new_idx")
+    if len(key) < 2:
+        raise ValueError("the key needs the book's column in front of the chapter's")
+    order = Window.partitionBy(*key[:-1]).orderBy("new_idx")
     before = F.last("body_idx", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
     later = F.first("body_idx", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
     longer = (F.col("new_chars") >= F.col("body_chars") * LONGER_SHARE) & (F.col("new_chars") >= F.col("body_chars") + LONGER_CHARS)

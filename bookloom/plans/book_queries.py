@@ -89,9 +89,9 @@ QUERIES = {
            r AS (SELECT grp, min(number) AS lo, max(number) AS hi FROM i GROUP BY grp, island)
            SELECT grp, string_agg(CASE WHEN lo = hi THEN CAST(lo AS VARCHAR) ELSE lo || '–' || hi END, '、' ORDER BY lo) AS ranges FROM r GROUP BY grp"""),
     "n10_length_report": (
-        lambda s, d: numbering.length_report(_document_sections(s, d), ["doc_id"]).drop("median"),
+        lambda s, d: numbering.length_report(_document_sections(s, d), ["doc_id"]),
         f"""WITH {LINES_SQL}, x AS (SELECT doc_id, row, length(replace(text, ' ', '')) AS n_chars FROM lines), m AS (SELECT doc_id, median(n_chars) AS m FROM x WHERE n_chars > 0 GROUP BY 1)
-            SELECT doc_id, row, n_chars, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars * 10 < m * 3 THEN 'short' WHEN n_chars > m * 3 THEN 'long' ELSE 'fine' END AS flag FROM x LEFT JOIN m USING (doc_id)"""),
+            SELECT doc_id, row, n_chars, CAST(m AS DOUBLE) AS median, CASE WHEN n_chars = 0 THEN 'empty' WHEN n_chars * 10 < m * 3 THEN 'short' WHEN n_chars > m * 3 THEN 'long' ELSE 'fine' END AS flag FROM x LEFT JOIN m USING (doc_id)"""),
     "f20_markers": (
         lambda s, d: books(s, d).groupBy(headings.marker(F.col("text")).alias("marker")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.length(headings.unmarked(F.col("text")))).alias("n_chars")),
         f"WITH {BOOKS_SQL} SELECT CASE WHEN text LIKE '%[::X]' THEN 'exclude' ELSE 'none' END AS marker, count(*) AS n, CAST(sum(length(replace(text, ' [::X]', ''))) AS BIGINT) AS n_chars FROM books GROUP BY 1"),
