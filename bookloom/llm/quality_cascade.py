@@ -15,10 +15,10 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.shared import WHITE, let, read, words_of
+from bookloom.llm.shared import let, read, words_of
 
 SYMBOLS = "#*$%&|<>"
-BULLET, UNFINISHED = r"^[\x20\x09]*[-*•]", r"(\.\.\.|…)[\x20\x09-\x0D]*\z"
+FULL, BULLET, UNFINISHED = r"[^\x20\x09-\x0D]", r"^[\x20\x09]*[-*•]", r"(\.\.\.|…)[\x20\x09-\x0D]*\z"
 MIN_WORDS = 50
 MAX_REPEAT_SHARE = 0.5
 WINDOW = 3
@@ -26,7 +26,7 @@ WINDOW = 3
 #: drawn with the same probability. The sample sets the order only, never a verdict.
 SAMPLE_ROWS = 1000
 #: Times a rule is evaluated on every row of the sample in a timed job, and such jobs.
-REPEATS, TRIALS = 8, 2
+REPEATS, TRIALS = 4, 2
 SEED = 5
 #: Positions take the low bits of a packed long, hashes the rest.
 POSITION_BITS = 24
@@ -92,16 +92,18 @@ def repeat_words(words: Column) -> Column:
 
 
 def base_columns(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines and _n_repeat_words."""
+    """docs with _n_words, _word_chars, _n_symbols, _n_lines, _n_dup_lines and
+    _n_repeat_words."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, WHITE, "")) > 0)
-    words = docs.withColumn("_words", words_of(F.col(text_col)))
+    lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(FULL))
+    counted = let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), F.size(F.array_distinct(x)).cast("long").alias("kinds")))
+    words = docs.withColumn("_words", words_of(F.col(text_col))).withColumn("_lines", counted)
     return words.select(
         *docs.columns,
         F.size("_words").cast("long").alias("_n_words"),
-        F.length(F.translate(text, WHITE, "")).cast("long").alias("_word_chars"),
+        F.length(F.array_join("_words", "")).cast("long").alias("_word_chars"),
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("_n_symbols"),
-        let(lines, lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("_n_dup_lines"),
+        F.col("_lines.n").alias("_n_lines"), (F.col("_lines.n") - F.col("_lines.kinds")).alias("_n_dup_lines"),
         let(F.col("_words"), repeat_words).cast("long").alias("_n_repeat_words"),
     )
 
@@ -127,19 +129,20 @@ def more_rules() -> list[Rule]:
     text = F.coalesce(F.col("text"), F.lit(""))
     no_letter = F.regexp_count(text, F.lit(r"(^|[\x20\x09-\x0D])[^\p{L}\x20\x09-\x0D]+($|(?=[\x20\x09-\x0D]))"))
 
-    def lines(keep=lambda x: F.lit(True)):
-        return F.size(F.filter(F.split(text, "\n"), lambda x: (F.length(F.translate(x, WHITE, "")) > 0) & keep(x)))
+    def lines(pattern):
+        return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(pattern)))
 
-    bullets = lines(lambda x: x.rlike(BULLET))
-    unfinished = lines(lambda x: x.rlike(UNFINISHED))
+    # most texts have no such sign at all
+    bullets = F.when(text.contains("-") | text.contains("*") | text.contains("•"), lines(BULLET)).otherwise(0)
+    unfinished = F.when(text.contains("...") | text.contains("…"), lines(UNFINISHED)).otherwise(0)
     return [
         Rule("symbols", 100 * F.col("_n_symbols") > 10 * n),
         Rule("short_words", 100 * F.col("_word_chars") < 300 * n),
         Rule("long_words", 100 * F.col("_word_chars") > 1000 * n),
-        Rule("repeated_lines", 100 * F.col("_n_dup_lines") > 40 * lines()),
+        Rule("repeated_lines", 100 * F.col("_n_dup_lines") > 40 * F.col("_n_lines")),
         Rule("words_without_letters", 100 * no_letter > 20 * n),
-        Rule("bullet_lines", 100 * bullets > 90 * lines()),
-        Rule("unfinished_lines", 100 * unfinished > 30 * lines()),
+        Rule("bullet_lines", 100 * bullets > 90 * F.col("_n_lines")),
+        Rule("unfinished_lines", 100 * unfinished > 30 * F.col("_n_lines")),
     ]
 
 
@@ -203,7 +206,7 @@ def judged(docs: DataFrame) -> DataFrame:
     none may be called like those that are added (kept() takes any names); an empty table
     gives no rows.
     """
-    added = ("_words", "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_reason", "_kept")
+    added = ("_words", "_lines", "_n_lines", "_n_words", "_word_chars", "_n_symbols", "_n_dup_lines", "_n_repeat_words", "_base_failed", "_reason", "_kept")
     if taken := [c for c in docs.columns if c.lower() in added]:
         raise ValueError(f"columns that judged() adds: {taken}")
     order = measured_order(docs, more_rules())
