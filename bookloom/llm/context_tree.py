@@ -25,11 +25,12 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bookloom.llm.best_fit_packing import blocks
-from bookloom.llm.shared import read, written
+from bookloom.llm.shared import free_shuffles, read, written
 from bookloom.runtime import ship
 
 #: Bytes of context; up to MAX_DEPTH, as a byte string of one more must fit a long with a
@@ -39,7 +40,7 @@ DEPTH, MAX_DEPTH = 5, 6
 SPLIT = 3
 BLOCK_BYTES = 1 << 19
 #: Bytes of text in a chunk, at most, but for a longer document.
-CHUNK_BYTES = 3 << 20
+CHUNK_BYTES = 6 << 20
 #: Bytes of text for each key bucket.
 BUCKET_BYTES = 6 << 20
 #: Byte strings whose trees are weighted at once.
@@ -49,6 +50,7 @@ BATCH_BYTES = 2 << 20
 HELD_OUT, FOLDS = 2, 7
 WORD, GRAM = 0, 1
 LOG10_OF_2 = float(np.log10(2))
+_PACKER, _UNPACKER = zstandard.ZstdCompressor(level=3), zstandard.ZstdDecompressor()
 
 
 def symbols(texts: list[bytes], depth: int):
@@ -70,12 +72,12 @@ def word_key(word: bytes) -> int:
 
 
 def pack(a: np.ndarray) -> bytes:
-    """An array of 8-byte numbers as byte planes, which compress well."""
-    return a.astype("<i8" if a.dtype.kind in "iu" else "<f8").view(np.uint8).reshape(-1, 8).T.tobytes()
+    """An array of 8-byte numbers as byte planes, which compress well, compressed."""
+    return _PACKER.compress(a.astype("<i8" if a.dtype.kind in "iu" else "<f8").view(np.uint8).reshape(-1, 8).T.tobytes())
 
 
 def unpack(data: bytes, kind: str = "<i8") -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(kind).ravel()
+    return np.ascontiguousarray(np.frombuffer(_UNPACKER.decompress(data), np.uint8).reshape(8, -1).T).view(kind).ravel()
 
 
 def near_context(keys: np.ndarray, depth: int) -> np.ndarray:
@@ -405,10 +407,13 @@ def scored(docs: DataFrame, held_out=None, depth: int = DEPTH, chunk_bytes: int
         word_answers, "chunk long, kind int, bucket long, values binary, seen long, distinct long"))
     seen, distinct = of_words.agg(F.coalesce(F.sum("seen"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
     tokens, distinct = seen + ends, distinct + (ends > 0)
+    free_shuffles(docs.sparkSession)
     grams = asked.where(F.col("kind") == GRAM)
     tops = written(grams.groupBy("bucket").applyInPandas(
         lambda r: top_nodes(r, depth), "bucket long, node long, zeros double, ones double, weighted double"))
-    of_grams = grams.groupBy("bucket").cogroup(mixed_above(tops, min(SPLIT, depth)).groupBy("bucket")).applyInPandas(
+    mixed = written(mixed_above(tops, min(SPLIT, depth)))
+    free_shuffles(docs.sparkSession)
+    of_grams = grams.groupBy("bucket").cogroup(mixed.groupBy("bucket")).applyInPandas(
         lambda r, t: gram_answers(r, t, depth), "chunk long, kind int, bucket long, values binary")
     answers = of_words.select("chunk", "kind", "bucket", "values").unionByName(of_grams)
     return payloads.select("chunk", "payload").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(

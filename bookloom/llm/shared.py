@@ -4,6 +4,7 @@ that stand a hot key, and connected components."""
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -62,6 +63,13 @@ def drop_written(df: DataFrame) -> None:
         there.getFileSystem(spark._jsc.hadoopConfiguration()).delete(there, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner remove the shuffle files of jobs that are over: it goes by what the
+    driver's garbage collector finds, which may not run for long."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def ascii_lower(text):
     return F.translate(text, UPPER, LOWER)
 
