@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bookloom.functions.chars import NUMBER, clean
 from bookloom.functions.numerals import number
 
+# Fixed values of the text format: units, words, markers.
 CHAPTER_UNITS, VOLUME_UNITS = "章回節折幕", "卷部篇集季"
 SPECIAL_WORDS = "序章|楔子|引子|前言|序|後記|尾聲|終章|番外|外傳|簡介|附錄"
 #: What makes 第N部.. an ordinary word: 部分 and the like.
@@ -56,7 +57,3 @@ def weak(text: Column) -> dict[str, Column]:
 def end_mark(text: Column) -> Column:
     """True for lines such as 第一卷終 or 本卷完."""
     return clean(text).rlike(f"^[（(【]?(第{NUMBER}|本)[{VOLUME_UNITS}][ 　]*(終|完|結束)[)）】]?$")
-
-
-def length_without_blank_runs(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, "[ 　]+", " "))

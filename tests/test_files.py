@@ -47,6 +47,13 @@ def test_docx():
     assert containers.docx_text(docx(body)) == "甲\t乙\n\n丙\n丁"
 
 
+def test_loose_markup():
+    """Unclosed tags, references, ruby, scripts; other encodings."""
+    loose = "<html><head><title>t</title></head><body><h1>甲<br>乙</h1><p>一&nbsp;二 &#29368;<p>三<br/>四<script>x<y</script><ruby>字<rt>zi</ruby><div>五</body>"
+    assert containers.markup_lines(loose.encode()) == ["甲 乙", f"一 二 {chr(29368)}", "三", "四字", "五"]
+    assert containers.markup_lines("<?xml version='1.0' encoding='gb18030'?><p>中文</p>".encode("gb18030")) == ["中文"]
+
+
 def test_epub_round_trip():
     sections = [("第1章 甲", ["一 & 二", "", "三\x00"]), ("", ["四"])]
     assert containers.epub_content(containers.epub_bytes("書", "人", sections)) == ("書", "人", "第1章 甲\n一 & 二\n三\n\n四")
