@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _SHIPPED = "_bookloom_shipped"
 
@@ -24,3 +25,15 @@ def ship(spark: SparkSession) -> None:
             archive.write(path, f"{top.name}/{path.relative_to(top)}")
     context.addPyFile(str(target))
     setattr(context, _SHIPPED, True)
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df.checkpoint() in the folder that spark.checkpoint.dir names; where none is named,
+    only local sessions get a temporary one."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
+    return df.checkpoint()
