@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, fuzzy_lines, qdwh_whitening, quality_cascade, secret_forest, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
+from bookloom.llm import best_fit_packing, context_tree, conversation_repair, fuzzy_lines, qdwh_whitening, quality_cascade, secret_forest, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_secret_forest": secret_forest.op9_secret_forest,
         "op10_simhash_near_dedup": simhash_documents.op10_simhash_near_dedup,
         "op11_qdwh_whitening": qdwh_whitening.op11_qdwh_whitening,
+        "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
