@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from bookloom.llm import best_fit_packing, context_tree, conversation_repair, fuzzy_lines, qdwh_whitening, quality_cascade, secret_forest, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
+from bookloom.llm import best_fit_packing, chat_format, context_tree, conversation_repair, fuzzy_lines, qdwh_whitening, quality_cascade, secret_forest, simhash_documents, sparse_suffix, tag_path_ratios, template_decontamination, warc_salvage
 
 
 def queries() -> dict:
@@ -18,9 +18,10 @@ def queries() -> dict:
         "op9_secret_forest": secret_forest.op9_secret_forest,
         "op10_simhash_near_dedup": simhash_documents.op10_simhash_near_dedup,
         "op11_qdwh_whitening": qdwh_whitening.op11_qdwh_whitening,
+        "op12_chat_round_trip": chat_format.op12_chat_round_trip,
         "op13_conversation_repair": conversation_repair.op13_conversation_repair,
     }
 
 
 def oracle_sql() -> dict:
-    return {"op1_template_decontamination": template_decontamination.ORACLE_SQL, "op4_quality_cascade": quality_cascade.ORACLE_SQL}
+    return {"op1_template_decontamination": template_decontamination.ORACLE_SQL, "op4_quality_cascade": quality_cascade.ORACLE_SQL, "op12_chat_round_trip": chat_format.ORACLE_SQL}

@@ -13,6 +13,14 @@ from bookloom.llm import conversation_repair as c
 SCHEMA = "conv_id long, turn long, role string, text string, part string, seq string, cost string"
 
 
+@pytest.fixture(autouse=True)
+def dealt(spark):
+    """Small partitions stay apart, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def brute_path(items):
     """Cheapest (cost, audit) by search over all edit strings, cheapest first."""
     heap = [(0, "", 0, "")]  # cost, audit, rows used, roles so far
