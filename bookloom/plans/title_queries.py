@@ -175,7 +175,7 @@ def f12_no_headings(spark, sf_dir):
     return title_lines(spark, sf_dir).select("doc_id", "row", titles.no_heading(F.col("text")).alias("reason")).where("reason IN ('note', 'end_sentence', 'unit_word', 'sentence', 'name')")
 
 
-F12 = f"""WITH {LINES}, r AS (SELECT doc_id, row, CASE {' '.join(f"WHEN {_is(p)} THEN '{n}'" for n, p in titles.NO_HEADING.items())} END AS reason FROM tl)
+F12 = f"""WITH {LINES}, r AS (SELECT doc_id, row, CASE {' '.join(f"WHEN {_is(p)}{f' AND NOT {_is(but)}' if but else ''} THEN '{n}'" for n, (p, but) in titles.NO_HEADING.items())} END AS reason FROM tl)
 SELECT doc_id, row, reason FROM r WHERE reason IS NOT NULL"""
 
 _PLACE = rf"^(.*?第[{S}]*)({titles.DECIMAL})[{S}]*(?:(?:[、，,]|{titles.RANGE_MARK})[{S}]*{titles.N}[{S}]*)?[{titles.CHAPTER_UNITS}]"
