@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions.chars import BLANK, BLANK_CHARS, char_count, clean
-from bookloom.functions.headings import end_mark, marker, unmarked
+from bookloom.functions.context import end_of, ends_in_period, only_noted
+from bookloom.functions.headings import marker, unmarked
 from bookloom.functions.rules import matched
 from bookloom.functions.titles import (
-    ALLOWED_TAILS, TITLE_LIMIT, chapter, forbidden_tail, merged_subtitle, mixed, no_heading, resolved_number, special, strip_body, title_length, valid_title, volume, weak)
+    ALLOWED_TAILS, TITLE_LIMIT, chapter, forbidden_tail, merged_subtitle, mixed, no_heading, range_end, special, strip_body, title_length, valid_title, volume, weak)
 
 #: Headings repeated within so many characters and rows are one.
 REPEAT_CHARS, REPEAT_ROWS = 100, 40
@@ -19,16 +20,27 @@ REPEAT_CHARS, REPEAT_ROWS = 100, 40
 _NO_NAME = r"^[「『“\"‘'—…*=#~\-]|[。！？!?；;，,：:]$|^(作者|ps|http)|www\.|求(票|收藏|推薦|推荐)"
 
 
-def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str = "", limit: int = TITLE_LIMIT, short_volume: bool = False) -> DataFrame:
+def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str = "", limit: int = TITLE_LIMIT, short_volume: bool = False,
+           contextual: bool = False) -> DataFrame:
     """(doc_id, row, part, kind, source, work, unit, number, number_text, name) of title lines, in
     one pass of fixed precedence: excluded by a marker, work, volume with chapter, forced by a
     marker, rules, volume, chapter, special. kind: work, volume, chapter, side or special;
-    part: 0, and 1 for the chapter of a line that names both."""
+    part: 0, and 1 for the chapter of a line that names both. contextual: also lines that are
+    titles only behind certain others, with range_end and accepts (see acceptance)."""
     text = clean(unmarked(F.col("text")))
     found = lines.select("doc_id", "row", text.alias("t"), marker(F.col("text")).alias("mark")).where("t <> '' AND mark <> 'exclude'")
     parsed = found.select("doc_id", "row", "t", "mark", mixed(F.col("t"), short_volume).alias("m"), (matched(F.col("t"), rules, allowed, more, limit) if rules else F.lit(None)).alias("r"),
                           volume(F.col("t")).alias("v"), chapter(F.col("t")).alias("c"), special(F.col("t")).alias("s"),
-                          (valid_title(F.col("t"), allowed, more, limit) & no_heading(F.col("t")).isNull()).alias("ok"))
+                          valid_title(F.col("t"), allowed, more, limit).alias("valid"), no_heading(F.col("t")).isNull().alias("heading"))
+    parsed = parsed.withColumn("ok", F.col("valid") & F.col("heading"))
+    mixed_ok, accepts = F.col("ok"), F.lit("always")
+    if contextual:
+        # both parts of a line that names two levels fit by themselves; end marks and full stops are asked about
+        parsed = parsed.withColumns({"end": end_of(F.col("t")), "period": ends_in_period(F.col("t"), F.col("c"), limit)})
+        mixed_ok = F.col("heading") & (title_length(F.col("m.volume_name")) <= limit) & (title_length(F.col("m.name")) <= limit)
+        noted = F.when(F.col("end").isNotNull(), (F.col("end.level") == "chapter") & F.col("end.number").isNotNull()).otherwise(~only_noted(F.col("t"), F.col("c")))
+        parsed = parsed.withColumn("ok", F.col("heading") & noted & (F.col("valid") | F.col("period").isNotNull()))
+        accepts = F.when(F.col("end").isNotNull(), "unless_same").when(~F.col("valid"), F.col("period")).otherwise("always")
 
     def event(part, kind, source, work, unit, number, number_text, name):
         lit = lambda x: x if not isinstance(x, (str, int)) else F.lit(x)
@@ -40,7 +52,7 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
     c = F.col
     none = F.lit(0.0)
     events = (F.when(c("mark") == "work", F.array(event(0, "work", "marker", "", "", none, "", c("t"))))
-              .when(c("m").isNotNull() & c("ok"), F.array(
+              .when(c("m").isNotNull() & mixed_ok, F.array(
                   event(0, "volume", "auto", "", c("m.volume_unit"), value(c("m.volume_number_text")), c("m.volume_number_text"), c("m.volume_name")),
                   event(1, "chapter", "auto", "", c("m.unit"), value(c("m.number_text")), c("m.number_text"), c("m.name"))))
               .when(c("mark") == "special", F.array(event(0, "special", "marker", "", "", none, "", c("t")))))
@@ -52,13 +64,21 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
                   0, F.when(c("c.kind") == "side", "side").otherwise("chapter"), "auto", c("c.work"), c("c.unit"), c("c.number"), c("c.number_text"), c("c.name"))))
               .when(c("s").isNotNull() & c("ok"), F.array(event(0, "special", "auto", c("s.work"), c("s.word"), none, "", c("s.name"))))
               .when(c("mark") == "include", F.array(event(0, "chapter", "marker", "", "", none, "", c("t")))))
-    return parsed.select("doc_id", "row", F.explode(events).alias("e")).select("doc_id", "row", "e.*")
+    if not contextual:
+        return parsed.select("doc_id", "row", F.explode(events).alias("e")).select("doc_id", "row", "e.*")
+    both = c("m").isNotNull() & mixed_ok
+    out = parsed.select("doc_id", "row", F.explode(events).alias("e"), F.when(~both, range_end(c("t"))).alias("range_end"), F.when(both, "always").otherwise(accepts).alias("accepts"), "mark")
+    out = out.select("doc_id", "row", "e.*", "range_end", "accepts", "mark").withColumn("source", F.when(F.col("mark") == "include", "marker").otherwise(F.col("source"))).drop("mark")
+    # only chapters of the grammar wait for others; what a marker or a rule says holds
+    forced, asked = F.col("source").isin("marker", "rule"), (F.col("kind") == "chapter") & (F.col("part") == 0)
+    out = out.where(forced | asked | (F.col("accepts") == "always"))
+    return out.withColumn("accepts", F.when(forced | (F.col("accepts") == "first"), "always").otherwise(F.col("accepts")))
 
 
 def with_parents(found: DataFrame, lines: DataFrame) -> DataFrame:
     """found with parent_row and ord. The volume of a line that names both goes where it is
     the current one; an end mark closes the current volume, and is no title."""
-    ends = lines.where(end_mark(F.col("text"))).select("doc_id", "row", F.lit(True).alias("ends"))
+    ends = lines.where(end_of(clean(F.col("text")))["level"] == "volume").select("doc_id", "row", F.lit(True).alias("ends"))
     rows = found.join(ends, ["doc_id", "row"], "full").withColumn("part", F.coalesce("part", F.lit(0)))
     before = Window.partitionBy("doc_id").orderBy("row", "part").rowsBetween(Window.unboundedPreceding, -1)
     same = F.struct("number", "unit")
@@ -117,10 +137,14 @@ def without_repeats(found: DataFrame, lines: DataFrame) -> DataFrame:
 
 def records(found: DataFrame) -> DataFrame:
     """found with `settled`: the number of each chapter, ambiguous ones read so as to follow on
-    the chapter before with the same parent and unit."""
-    order = Window.partitionBy("doc_id", "parent_row", "unit").orderBy("row", "part")
+    the chapter before with the same parent, as that was read itself."""
+    from bookloom.operators.acceptance import settle
+
     chapters = found.where("kind IN ('chapter', 'side') AND number > 0")
-    return chapters.withColumn("settled", resolved_number(F.col("number"), F.col("number_text"), F.lag("number").over(order)))
+    plain = chapters.withColumn("range_end", F.lit(None).cast("double")).withColumn("accepts", F.lit("always"))
+    # side stories keep their numbers
+    asked = plain.withColumn("_text", F.col("number_text")).withColumn("number_text", F.when(F.col("kind") == "chapter", F.col("number_text")).otherwise(""))
+    return settle(asked, ("doc_id", "parent_row")).withColumn("number_text", F.col("_text")).select(*found.columns, "settled")
 
 
 def volume_summary(found: DataFrame) -> DataFrame:

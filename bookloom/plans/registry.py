@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from bookloom.plans import advert_queries, book_queries, edit_queries, file_queries, format_queries, review_queries, text_queries, title_queries
+from bookloom.plans import advert_queries, book_queries, edit_queries, file_queries, format_queries, review_queries, structure_queries, text_queries, title_queries
 
-_MODULES = (text_queries, advert_queries, edit_queries, book_queries, format_queries, file_queries, title_queries, review_queries)
+_MODULES = (text_queries, advert_queries, edit_queries, book_queries, format_queries, file_queries, title_queries, review_queries, structure_queries)
 
 
 def queries() -> dict:
