@@ -5,8 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.operators import acceptance, contents
-from bookloom.plans.derived import table
+from bookloom.operators import acceptance, alignment, contents, reflow, volumes
+from bookloom.plans.derived import BOOKS_SQL, books, table
 
 ROWS = 400
 _CN = "translate(CAST({} AS STRING), '0123456789', '零一二三四五六七八九')"
@@ -57,4 +57,98 @@ def t07_absorbed_titles(spark, sf_dir):
     return acceptance.absorbed(contents.titles(lines, contextual=True), lines)
 
 
-QUERIES = {"t11_accepted_titles": (t11_accepted_titles, T11), "t07_absorbed_titles": (t07_absorbed_titles, None)}
+#: Books whose chapters count from 1 every 25 lines: by doc_id % 3 with an end mark for each
+#: count, for the last one only, or with a third volume that is written.
+_PARTS = f"""SELECT CAST(floor(o_orderkey / 100) AS BIGINT) AS doc_id, o_orderkey % 100 AS row, CAST(floor(o_orderkey / 100) AS BIGINT) % 3 AS k, o_orderkey % 25 AS nth,
+  CAST(floor(o_orderkey % 100 / 25) AS BIGINT) + 1 AS part, o_orderpriority AS p FROM orders"""
+
+
+def parted_lines(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(f"""SELECT doc_id, row, CASE WHEN nth = 24 AND (k = 0 OR (k = 1 AND part = 4)) THEN concat('第', part, '卷終') WHEN nth = 0 AND k = 2 AND part = 3 THEN concat('第3卷 ', p)
+      ELSE concat('第', nth + CASE WHEN k = 2 AND part = 3 THEN 0 ELSE 1 END, '章 ', p) END AS text FROM ({_PARTS})""")
+
+
+def t13_inferred_volumes(spark, sf_dir):
+    lines = parted_lines(spark, sf_dir)
+    return volumes.inferred(contents.with_parents(contents.titles(lines), lines), lines)[0]
+
+
+#: A count is volume `part` but behind the written volume, which holds what follows it.
+T13 = f"""WITH b AS ({_PARTS})
+SELECT doc_id, min(row) AS row, part AS number, '卷' AS unit, concat('第', part, '卷') AS title, 'restart' AS evidence FROM b
+WHERE NOT (k = 2 AND part >= 3) AND NOT (nth = 24 AND (k = 0 OR (k = 1 AND part = 4))) GROUP BY doc_id, part"""
+
+#: Lines of a fixed width: blank, indented, even widths, sentence ends, headings.
+_WRAPPED = f"""SELECT CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS doc_id, o_orderkey % {ROWS} AS row, o_custkey % 9 AS k, o_custkey % 4 AS d, o_orderpriority AS p FROM orders"""
+_WRAPPED_TEXT = "CASE k WHEN 0 THEN '' WHEN 1 THEN concat('　　', repeat('山', CAST(14 + d AS INT))) WHEN 2 THEN concat(repeat('河', CAST(14 + d AS INT)), '。') WHEN 3 THEN concat('第3章 ', p) WHEN 4 THEN repeat('橋', CAST(8 + 6 * d AS INT)) ELSE repeat('水', CAST(15 + d AS INT)) END"
+
+
+def r01_joined_lines(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return reflow.joins(spark.sql(f"SELECT doc_id, row, {_WRAPPED_TEXT} AS text FROM ({_WRAPPED})")).select("doc_id", "row", "joins")
+
+
+#: No brackets, so only the indent of a paragraph is carried on.
+R01 = f"""WITH RECURSIVE b AS (
+  SELECT *, trim(text, ' 　') AS t, 2 * length(trim(text, ' 　')) AS w, k = 2 AS terminal, k = 3 AS prot, k = 1 AS ind FROM (SELECT *, {_WRAPPED_TEXT.replace('INT', 'BIGINT')} AS text FROM ({_WRAPPED}))),
+near AS (
+  SELECT a.doc_id, a.row, count(*) AS n, count(*) FILTER (NOT c.terminal) AS n_open, median(c.w) AS m
+  FROM b a JOIN b c ON a.doc_id = c.doc_id AND c.row BETWEEN a.row - 10 AND a.row + 10 AND c.w BETWEEN 24 AND 180 AND NOT c.prot AND abs(c.w - a.w) <= greatest(4, a.w * 0.08)
+  GROUP BY a.doc_id, a.row),
+f AS (
+  SELECT b.doc_id, b.row, b.ind, lead(b.row) OVER o IS NULL OR b.t = '' OR lead(b.t) OVER o = '' OR b.prot OR lead(b.prot) OVER o OR lead(b.ind) OVER o AS never,
+    NOT b.terminal AND b.w BETWEEN 24 AND 180 AS going, coalesce(n >= 3 AND n_open >= 2 AND abs(b.w - m) <= greatest(4, m * 0.08), false) AS even
+  FROM b LEFT JOIN near USING (doc_id, row) WINDOW o AS (PARTITION BY b.doc_id ORDER BY b.row)),
+walk AS (
+  SELECT doc_id, row, NOT never AND going AND (even OR ind) AS joins, ind FROM f WHERE row = 0
+  UNION ALL SELECT f.doc_id, f.row, NOT f.never AND f.going AND (f.even OR CASE WHEN w.joins THEN w.ind ELSE f.ind END), CASE WHEN w.joins THEN w.ind ELSE f.ind END
+  FROM walk w JOIN f ON f.doc_id = w.doc_id AND f.row = w.row + 1)
+SELECT doc_id, row, joins FROM walk"""
+
+
+def r02_even_spaces(spark, sf_dir):
+    """Lines of books whose blanks change."""
+    return books(spark, sf_dir).withColumn("text", F.concat("text", F.lit("  末"))).select("doc_id", "row", reflow.even_spaces(F.col("text")).alias("even"), "text").where("even <> text").select("doc_id", "row", "even")
+
+
+_HAN = r"\x{3400}-\x{4DBF}\x{4E00}-\x{9FFF}\x{F900}-\x{FAFF}々〇"
+_EVEN = rf"regexp_replace(regexp_replace(regexp_replace(substring(text, length(i) + 1), '[ \t\x{{00A0}}\x{{3000}}]+$', ''), '([{_HAN}])[ \t\x{{00A0}}\x{{3000}}]+([{_HAN}])', '\1\2', 'g'), '[ \t\x{{00A0}}\x{{3000}}]{{2,}}|\x{{3000}}', ' ', 'g')"
+
+
+def versions(spark, sf_dir):
+    """Two versions of a customer's orders as chapters: the newer one lacks some, has others
+    under new names and some of its own."""
+    rows = table(spark, sf_dir, "orders").selectExpr("o_custkey AS doc_id", "o_orderkey AS k", "CAST(length(o_orderpriority) * (o_orderkey % 7) AS BIGINT) AS n_han")
+    old = rows.where("k % 5 <> 0").selectExpr("doc_id", "k AS idx", "concat('o', k) AS key", "concat('l', k % 3) AS loose", "n_han")
+    new = rows.where("k % 7 <> 0").selectExpr("doc_id", "k AS idx", "CASE WHEN k % 4 = 0 THEN concat('n', k) ELSE concat('o', k) END AS key", "concat('l', k % 3) AS loose", "n_han * 2 + 250 AS n_han")
+    return old, new
+
+
+def u02_aligned_versions(spark, sf_dir):
+    return alignment.aligned(*versions(spark, sf_dir))
+
+
+#: Keys of the old version stand once and in order, so the common ones are the anchors; a
+#: chapter with a new name takes the first free one between with its loose key. One step per
+#: new chapter carries the last old place taken.
+U02 = """WITH RECURSIVE rows AS (SELECT o_custkey AS doc_id, o_orderkey AS k FROM orders),
+old AS (SELECT doc_id, k, k % 3 AS loose, k % 7 <> 0 AND k % 4 <> 0 AS anchor FROM rows WHERE k % 5 <> 0),
+new AS (SELECT doc_id, k, k % 3 AS loose, k % 5 <> 0 AND k % 4 <> 0 AS anchor, row_number() OVER (PARTITION BY doc_id ORDER BY k) AS i,
+          min(CASE WHEN k % 5 <> 0 AND k % 4 <> 0 THEN k END) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS bound FROM rows WHERE k % 7 <> 0),
+walk AS (
+  SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(-1 AS BIGINT) AS k, CAST(NULL AS BIGINT) AS found, CAST(-1 AS BIGINT) AS last, '' AS how FROM (SELECT DISTINCT doc_id FROM new)
+  UNION ALL
+  SELECT doc_id, i, k, found, coalesce(found, last), how FROM (
+    SELECT w.doc_id, n.i, n.k, w.last, CASE WHEN n.anchor THEN 'same' ELSE 'loose' END AS how, CASE WHEN n.anchor THEN n.k ELSE (
+      SELECT min(o.k) FROM old o WHERE o.doc_id = n.doc_id AND NOT o.anchor AND o.loose = n.loose AND o.k > w.last AND o.k < coalesce(n.bound, 9223372036854775807)) END AS found
+    FROM walk w JOIN new n ON n.doc_id = w.doc_id AND n.i = w.i + 1))
+SELECT doc_id, k AS new_idx, found AS old_idx, how FROM walk WHERE found IS NOT NULL"""
+
+R02 = rf"""WITH {BOOKS_SQL}, lines AS (SELECT doc_id, row, concat(text, '  末') AS text FROM books),
+p AS (SELECT *, regexp_extract(text, '^(\x{{3000}}+|[ \t]*\t| {{2,}})', 1) AS i FROM lines)
+SELECT doc_id, row, concat(i, {_EVEN}) AS even FROM p
+WHERE trim(text, ' 　' || chr(9)) <> '' AND NOT regexp_matches(trim(text, ' 　' || chr(9)), '{reflow.PROTECTED}') AND concat(i, {_EVEN}) <> text"""
+
+QUERIES = {"t11_accepted_titles": (t11_accepted_titles, T11), "t07_absorbed_titles": (t07_absorbed_titles, None), "t13_inferred_volumes": (t13_inferred_volumes, T13),
+           "r01_joined_lines": (r01_joined_lines, R01), "r02_even_spaces": (r02_even_spaces, R02), "u02_aligned_versions": (u02_aligned_versions, U02)}
