@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.operators import acceptance, alignment, contents, reflow, volumes
+from bookloom.operators import acceptance, alignment, contents, fixes, reflow, volumes
 from bookloom.plans.derived import BOOKS_SQL, books, table
 
 ROWS = 400
@@ -150,5 +150,61 @@ p AS (SELECT *, regexp_extract(text, '^(\x{{3000}}+|[ \t]*\t| {{2,}})', 1) AS i
 SELECT doc_id, row, concat(i, {_EVEN}) AS even FROM p
 WHERE trim(text, ' 　' || chr(9)) <> '' AND NOT regexp_matches(trim(text, ' 　' || chr(9)), '{reflow.PROTECTED}') AND concat(i, {_EVEN}) <> text"""
 
+#: Lines with marks out of place: one kind of fault each, or several that meet.
+_FAULTY = ("concat('山', p)", "concat('，', p, '。。。。')", "concat('「', p, '！」「走吧。」')", "concat('他笑：“', p, '？')", "concat(p, '。」他說。')", "repeat('=', CAST(4 + n % 5 AS INT))",
+           "concat('嘎吱—————', p)", "concat('「', p)", "concat(p, '」')", "concat('水.路', p)", "''", "concat('”', p, '“')")
+_FAULTY_TEXT = "CASE " + " ".join(f"WHEN k = {i} THEN {form}" for i, form in enumerate(_FAULTY)) + " END"
+_FAULTS = f"SELECT CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS doc_id, o_orderkey % {ROWS} AS row, o_custkey % {len(_FAULTY)} AS k, o_orderkey % 11 AS n, '甲' || substring(o_orderpriority, 1, 1) AS p FROM orders"
+
+
+def faulty_lines(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(f"SELECT doc_id, row, {_FAULTY_TEXT} AS text FROM ({_FAULTS})")
+
+
+def q10_fix_plans(spark, sf_dir):
+    found = fixes.plans(faulty_lines(spark, sf_dir))
+    return found.select("doc_id", "row", "kind", "start", "end", F.array_join("after", "\n").alias("after"))
+
+
+#: What each form needs, with what stands beside it.
+Q10 = f"""WITH f AS (SELECT *, {_FAULTY_TEXT.replace('INT', 'BIGINT')} AS text FROM ({_FAULTS})),
+b AS (SELECT *, lag(text) OVER o AS before, lag(k) OVER o AS kb, lead(text) OVER o AS next, lead(k) OVER o AS kn,
+        coalesce(nullif(lead(text, 1) OVER o, ''), nullif(lead(text, 2) OVER o, ''), nullif(lead(text, 3) OVER o, ''), '') AS near FROM f WINDOW o AS (PARTITION BY doc_id ORDER BY row)),
+p AS (
+  SELECT doc_id, row, 'leading_punct' AS kind, row - 1 AS s, row + 1 AS e, concat(before, text) AS after FROM b WHERE k = 1 AND before <> ''
+  UNION ALL SELECT doc_id, row, 'repeated_punct', row, row + 1, replace(text, '。。。。', '……') FROM b WHERE k = 1
+  UNION ALL SELECT doc_id, row, 'missing_separator', row, row + 1, concat('「', p, '！」', chr(10), '「走吧。」') FROM b WHERE k = 2
+  UNION ALL SELECT doc_id, row, 'unpaired', row, row + 1, concat(text, '”') FROM b WHERE k = 3 AND NOT regexp_matches(near, '^[「『“‘]')
+  UNION ALL SELECT doc_id, row, 'unpaired', CASE WHEN kb = 7 THEN row - 1 ELSE row END, row + 1, CASE WHEN kb = 7 THEN concat(before, text) ELSE concat('「', text) END FROM b WHERE k IN (4, 8)
+  UNION ALL SELECT doc_id, row, 'unclosed', row, row + 2, concat(text, next) FROM b WHERE k = 7 AND kn IN (4, 8)
+  UNION ALL SELECT doc_id, row, 'separator_line', row, row + 1, '===' FROM b WHERE k = 5
+  UNION ALL SELECT doc_id, row, 'dash_run', row, row + 1, replace(text, '—————', '——') FROM b WHERE k = 6
+  UNION ALL SELECT doc_id, row, 'noise_dot', row, row + 1, replace(text, '.', '') FROM b WHERE k = 9
+  UNION ALL SELECT doc_id, row, 'unpaired', row, row + 1, concat('“', p, '”') FROM b WHERE k = 11)
+"""
+
+
+def q11_fixed_lines(spark, sf_dir):
+    lines = faulty_lines(spark, sf_dir)
+    return fixes.applied(lines, fixes.plans(lines))[0]
+
+
+#: Plans taken one by one; the local ones that are skipped are done again on what took their row.
+Q11 = Q10.replace("WITH f AS", "WITH RECURSIVE f AS") + """,
+n AS (SELECT *, list_position(['leading_punct', 'unpaired', 'unclosed', 'missing_separator', 'separator_line', 'repeated_punct', 'dash_run', 'homoglyph', 'noise_dot'], kind) AS rank FROM p),
+i AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s, e, row, rank) AS i FROM n),
+walk AS (
+  SELECT doc_id, i, s, e, after, true AS ok, e AS reached FROM i WHERE i = 1
+  UNION ALL SELECT i.doc_id, i.i, i.s, i.e, i.after, i.s >= w.reached, CASE WHEN i.s >= w.reached THEN i.e ELSE w.reached END FROM walk w JOIN i ON i.doc_id = w.doc_id AND i.i = w.i + 1),
+lines AS (
+  SELECT doc_id, s, unnest(string_split(after, chr(10))) AS text, unnest(range(len(string_split(after, chr(10))))) AS pos FROM walk WHERE ok
+  UNION ALL SELECT doc_id, row, text, 0 FROM b WHERE NOT EXISTS (SELECT 1 FROM walk w WHERE w.ok AND w.doc_id = b.doc_id AND b.row >= w.s AND b.row < w.e)),
+again AS (SELECT i.doc_id, w.s FROM i JOIN walk x ON x.doc_id = i.doc_id AND x.i = i.i AND NOT x.ok JOIN walk w ON w.ok AND w.doc_id = i.doc_id AND i.row >= w.s AND i.row < w.e WHERE i.kind = 'repeated_punct')
+SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.s, l.pos) - 1 AS row, CASE WHEN a.s IS NOT NULL THEN replace(text, '。。。。', '……') ELSE text END AS text
+FROM lines l LEFT JOIN (SELECT DISTINCT * FROM again) a ON a.doc_id = l.doc_id AND a.s = l.s"""
+Q10 = Q10 + "SELECT doc_id, row, kind, s AS start, e AS \"end\", after FROM p"
+
 QUERIES = {"t11_accepted_titles": (t11_accepted_titles, T11), "t07_absorbed_titles": (t07_absorbed_titles, None), "t13_inferred_volumes": (t13_inferred_volumes, T13),
-           "r01_joined_lines": (r01_joined_lines, R01), "r02_even_spaces": (r02_even_spaces, R02), "u02_aligned_versions": (u02_aligned_versions, U02)}
+           "r01_joined_lines": (r01_joined_lines, R01), "r02_even_spaces": (r02_even_spaces, R02), "u02_aligned_versions": (u02_aligned_versions, U02),
+           "q10_fix_plans": (q10_fix_plans, Q10), "q11_fixed_lines": (q11_fixed_lines, Q11)}
