@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.operators import adverts
+from bookloom.operators import ad_blocks, adverts
 from bookloom.plans.derived import BOOK_ROWS, table
 
 _TEXT = """CASE o_orderkey % 25 WHEN 0 THEN '第1章 名' WHEN 3 THEN concat('本書首發於 www.', lower(s), 'book.com 轉載請註明') WHEN 4 THEN '加群 12345678' WHEN 9 THEN '作者：甲' WHEN 10 THEN '2024-01-02'
@@ -18,7 +18,30 @@ def lines(spark, sf_dir):
     return orders.select(F.floor(F.col("o_orderkey") / BOOK_ROWS).alias("doc_id"), (F.col("o_orderkey") % BOOK_ROWS).alias("row"), F.expr(_TEXT).alias("text"))
 
 
+#: Lines with a site's name and address at their end, or framed in the middle, of two sites each.
+_SITES = """SELECT CAST(floor(o_orderkey / 40) AS BIGINT) AS doc_id, o_orderkey % 40 AS row, o_custkey % 3 AS k, CAST(o_orderkey % 7 AS INT) AS n, lower(o_orderstatus) AS s, o_orderpriority AS p FROM orders"""
+_SITE_TEXT = """CASE k WHEN 0 THEN concat(repeat('山', 20 + n), '。書屋www.', s, 'x.com') WHEN 1 THEN concat(repeat('水', 20), '☆城のwww.', s, 'y.net★', repeat('河', n + 5)) ELSE concat('　　', p) END"""
+
+
+def _site_lines(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    return spark.sql(f"SELECT doc_id, row, {_SITE_TEXT} AS text FROM ({_SITES})")
+
+
+def _grown(spark, sf_dir):
+    """Candidates of the books of lines() grown to the rows of signs that stand around them."""
+    rows = lines(spark, sf_dir).withColumn("text", F.when(F.col("row") % 5 == 2, "----").otherwise(F.col("text")))
+    heads = rows.where(F.col("text").startswith("第")).select("doc_id", "row")
+    return ad_blocks.between_separators(rows, adverts.candidates(rows).select("doc_id", "start", "end", "types"), heads)
+
+
 QUERIES = {
+    "a05_blocks_between_separators": (_grown, None),
+    "a06_inline_fragments": (
+        lambda s, d: ad_blocks.inline_fragments(_site_lines(s, d)),
+        f"""WITH b AS (SELECT *, count(*) OVER (PARTITION BY doc_id, k, s) AS c FROM ({_SITES}))
+        SELECT doc_id, row, CASE k WHEN 0 THEN concat(repeat('山', 20 + n), '。') ELSE concat(repeat('水', 20), repeat('河', n + 5)) END AS fix, CASE WHEN c >= 5 THEN 'high' ELSE 'medium' END AS confidence
+        FROM b WHERE k < 2 AND c >= 3"""),
     "p01_a03_features": (
         lambda s, d: lines(s, d).select("doc_id", "row", *[c.alias(n) for n, c in adverts.features(F.col("text")).items()]).where("publish OR source OR chat OR `group` OR url"),
         f"WITH {_SQL} SELECT doc_id, row, m = 3 AS publish, m = 3 AS source, m = 21 AS chat, m = 4 AS \"group\", m = 3 AS url FROM notes WHERE m IN (3, 4, 21)"),
