@@ -44,7 +44,7 @@ CLOSES_P = BLOCK - frozenset("br body head html caption option optgroup tbody td
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"),
         "option": ("option",), "thead": ("thead", "tbody", "tfoot"), "tbody": ("thead", "tbody", "tfoot"), "tfoot": ("thead", "tbody", "tfoot")}
 SCOPE = frozenset("ul ol dl table select html body article section div main aside nav header footer form blockquote".split())
-FURNITURE = frozenset("head nav footer aside form button select menu dialog search svg math canvas object audio video".split())
+FURNITURE = frozenset("head nav footer aside button select menu dialog search svg math canvas object audio video".split())
 CONTAINERS = frozenset(("article", "main"))
 #: Words in class, id and role values that name page furniture.
 FURNITURE_WORDS = frozenset((
@@ -56,15 +56,36 @@ WORD = re.compile(r"[a-z]+")
 
 
 class Page:
-    """Text nodes of a page: (path, block number, text)."""
+    """Text nodes of a page: (path, block number, text). Paths are nodes of a tree, numbered
+    as they come: 0 is the root, and a path's parent has a lower number than the path."""
 
     def __init__(self, html: str):
-        self.nodes: list[tuple[tuple, int, str]] = []
+        self.nodes: list[tuple[int, int, str]] = []
         self.open: list[str] = []
-        self.labels: list[tuple[str, frozenset]] = []
+        self.paths: list[int] = [0]
+        self.counts: dict[str, int] = {}
         self.block = 0
+        self.children: dict = {}
+        self.parent = [-1]
+        #: Of each path: in an element without main text; in a form; in an article or main
+        #: element; whether its last element's names are those of page furniture.
+        self.vetoed, self.in_form, self.inside, self.furniture = [False], [False], [False], [False]
         self.read(html)
 
+    def child(self, name: str, words: frozenset) -> int:
+        up = self.paths[-1]
+        found = self.children.get((up, name, words))
+        if found is None:
+            found = self.children[up, name, words] = len(self.parent)
+            inside = self.inside[up] or name in CONTAINERS
+            self.parent.append(up)
+            self.inside.append(inside)
+            self.in_form.append(self.in_form[up] or name == "form")
+            # an article's own header holds main text
+            self.vetoed.append(self.vetoed[up] or name in FURNITURE or name == "header" and not inside)
+            self.furniture.append(bool(words & FURNITURE_WORDS - ({"header"} if inside else frozenset())) and name not in ("html", "body", "article", "main"))
+        return found
+
     def read(self, html: str) -> None:
         at, size = 0, len(html)
         while at < size:
@@ -99,7 +120,7 @@ class Page:
     def start(self, name: str, attributes: str) -> None:
         if name in BLOCK:
             self.block += 1
-        if name in CLOSES_P and "p" in self.open:
+        if name in CLOSES_P and self.counts.get("p"):
             self.pop_to(("p",), SCOPE)
         if name in ENDS:
             self.pop_to(ENDS[name], SCOPE)
@@ -108,13 +129,19 @@ class Page:
         words: frozenset = frozenset()
         if attributes:
             words = frozenset(w for value in NAMES.findall(attributes) for w in WORD.findall(value.lower()))
+        self.paths.append(self.child(name, words))
         self.open.append(name)
-        self.labels.append((name, words))
+        self.counts[name] = self.counts.get(name, 0) + 1
+
+    def pop(self, i: int) -> None:
+        for name in self.open[i:]:
+            self.counts[name] -= 1
+        del self.open[i:], self.paths[i + 1:]
 
     def pop_to(self, names, scope) -> None:
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i] in names:
-                del self.open[i:], self.labels[i:]
+                self.pop(i)
                 return
             if self.open[i] in scope:
                 return
@@ -122,43 +149,34 @@ class Page:
     def close(self, name: str) -> None:
         if name in BLOCK:
             self.block += 1
+        if not self.counts.get(name):
+            return
         for i in range(len(self.open) - 1, -1, -1):
             if self.open[i] == name:
-                del self.open[i:], self.labels[i:]
+                self.pop(i)
                 return
 
     def text(self, raw: str) -> None:
         if raw and not raw.isspace():
-            self.nodes.append((tuple(self.labels), self.block, unescape(raw)))
+            self.nodes.append((self.paths[-1], self.block, unescape(raw)))
         elif raw and self.nodes:
             self.nodes.append((self.nodes[-1][0], self.block, " "))
 
 
-def vetoed(path: tuple) -> bool:
-    """A path through an element that holds no main text. An article's own header does."""
-    inside = False
-    for name, _ in path:
-        inside = inside or name in CONTAINERS
-        if name in FURNITURE or name == "header" and not inside:
-            return True
-    return False
-
-
-def evidence(sizes: dict) -> dict:
+def evidence(page: Page, sizes: dict) -> dict:
     """What each path's names add to its score. sizes: characters of the paths."""
     total = sum(sizes.values())
-    under: dict = {}
+    under = [0] * len(page.parent)
     for path, n in sizes.items():
-        for i, (name, words) in enumerate(path):
-            if words & FURNITURE_WORDS and name not in ("html", "body", "article", "main"):
-                under[path[:i + 1]] = under.get(path[:i + 1], 0) + n
-    inside = {path: any(name in CONTAINERS for name, _ in path) for path in sizes}
-    held = sum(n for path, n in sizes.items() if inside[path]) / total
-    out = {}
-    for path in sizes:
-        against = max((1 - under[path[:i]] / total for i in range(1, len(path) + 1) if path[:i] in under), default=0.0)
-        out[path] = CONTAINER_WEIGHT * held * (1 if inside[path] else -1) - FURNITURE_WEIGHT * against
-    return out
+        under[path] = n
+    for path in range(len(under) - 1, 0, -1):  # sizes go up the tree
+        under[page.parent[path]] += under[path]
+    against = [0.0] * len(under)
+    for path in range(1, len(under)):  # and what counts against a path comes down
+        up = against[page.parent[path]]
+        against[path] = max(up, 1 - under[path] / total) if page.furniture[path] and under[path] else up
+    held = sum(n for path, n in sizes.items() if page.inside[path]) / total
+    return {path: CONTAINER_WEIGHT * held * (1 if page.inside[path] else -1) - FURNITURE_WEIGHT * against[path] for path in sizes}
 
 
 def smoothed(series: list[float]) -> list[float]:
@@ -195,10 +213,14 @@ def main_text(html: str | None) -> str:
     """Main text of a page: content blocks in page order, joined by one \\n."""
     if not html:
         return ""
-    nodes = Page(html).nodes
+    page = Page(html)
+    nodes = page.nodes
     if not nodes:
         return ""
-    ratios = {p: r for p, r in path_scores(nodes).items() if not vetoed(p)}
+    scores = path_scores(nodes)
+    ratios = {p: r for p, r in scores.items() if not page.vetoed[p] and not page.in_form[p]}
+    if not ratios:  # a form around the whole page is none of its parts
+        ratios = {p: r for p, r in scores.items() if not page.vetoed[p]}
     if not ratios:
         return ""
     top = max(ratios.values())
@@ -206,7 +228,7 @@ def main_text(html: str | None) -> str:
     for path, _, text in nodes:
         if path in sizes:
             sizes[path] += len(text)
-    names = evidence(sizes)
+    names = evidence(page, sizes)
     own = [r / top for r in ratios.values()]
     mean = sum(own) / len(own)
     spread = math.sqrt(sum((s - mean) ** 2 for s in own) / len(own))

@@ -210,3 +210,24 @@ def test_other_tokenizers_are_refused(tmp_path):
     tokenizer.save(str(tmp_path / "t.json"))
     with pytest.raises(ValueError, match="not those of its words"):
         best_fit_packing.WordIds(str(tmp_path / "t.json"))
+
+
+def test_nested_markup_is_read_in_linear_time():
+    import time
+
+    from bookloom.llm.tag_path_ratios import main_text
+
+    for page in ("<div>a" * 20_000, "<p><b>x" * 10_000, "<div>a</x>" * 20_000 + "</p>" * 1000):
+        began = time.perf_counter()
+        main_text(page)
+        assert time.perf_counter() - began < 5
+
+
+def test_headers_and_forms_of_main_text():
+    from bookloom.llm.tag_path_ratios import main_text
+
+    body = "<p>" + "This is a long sentence, with marks in it. " * 12 + "</p>"
+    found = main_text(f"<body><article><div class='article-header'><h1>A heading, of its own.</h1></div>{body}{body}</article><div class='header'>Site, menu.</div></body>")
+    assert found.startswith("A heading, of its own.\n") and "menu" not in found
+    assert main_text(f"<body><form><nav>Menu</nav>{body}</form></body>").startswith("This is a long")
+    assert "Search" not in main_text(f"<body>{body}<form>Search, here.</form></body>")
