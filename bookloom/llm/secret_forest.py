@@ -37,6 +37,8 @@ TREES, DEPTH, SEED = 20, 6, 7
 
 #: Names that secrets are assigned to.
 TELLING = r"(?i)(pass(word|wd|phrase)?|pwd|secret|token|api_?key|access_?key|auth|credential|bearer|private_?key|client_?secret)"
+#: A name that something is assigned to.
+NAME = "[A-Za-z_.-]{2,200}"
 #: Words that tell an example from the real thing.
 HARMLESS = r"(?i)(example|sample|dummy|test|placeholder|changeme|your|xxxx|redacted|fake|foo)"
 #: Formats of issued credentials.
@@ -58,7 +60,7 @@ def assigned_before(before: Column) -> Column:
 
 def candidates(docs: DataFrame) -> DataFrame:
     """(doc_id, word_no, path, name, core, before): words that may be secrets. core: the
-    word without quotes and closing punctuation, and without the name it is assigned to;
+    word up to its closing quote, or without closing punctuation, and without the name it is assigned to;
     before: up to three words in front."""
     path = F.col("source") if "source" in docs.columns else F.lit(None).cast("string")
     likely = docs.where("doc_id IS NOT NULL").where(F.col("text").rlike("[0-9]") | F.col("text").rlike(TELLING))
@@ -69,8 +71,13 @@ def candidates(docs: DataFrame) -> DataFrame:
                       lambda x: ((F.length(x["w"]) >= MIN_LENGTH) & x["w"].rlike("[0-9]")) | x["w"].rlike("[=:].") |
                       F.coalesce(F.get("words", x["i"] - 1), F.lit("")).rlike("[=:>]$"))
     found = words.select("doc_id", "path", "words", F.explode(picked).alias("x"))
-    name = F.regexp_extract("x.w", r"^[\"']?([A-Za-z_.-]{2,40})[\"']?[=:]+(?=.)", 1)
-    core = F.regexp_extract("x.w", r"^(?:[\"']?[A-Za-z_.-]{2,40}[\"']?[=:]+)?[\"'(\[{<]*(.*?)[\"')\]}>.,;:!?]*$", 1)
+    name = F.regexp_extract("x.w", rf"^[\"']?({NAME})[\"']?[=:]+(?=.)", 1)
+    lead = rf"^(?:[\"']?{NAME}[\"']?[=:]+)?"
+    core = F.regexp_extract("x.w", lead + r"[\"'(\[{<]*(.*?)[\"')\]}>.,;:!?]*$", 1)
+    # what is quoted ends where the quote does, whatever follows
+    for quote in "\"'":
+        quoted = F.regexp_extract("x.w", lead + rf"[(\[{{<]*{quote}([^{quote}]+){quote}", 1)
+        core = F.when(quoted != "", quoted).otherwise(core)
     rows = found.select("doc_id", "path", F.col("x.i").alias("word_no"), name.alias("name"), core.alias("core"), front(F.col("x.i")).alias("before"))
     mixed = (F.length("core") >= MIN_LENGTH) & F.col("core").rlike("[0-9]") & F.col("core").rlike(r"\p{L}")
     told = F.col("name").rlike(TELLING) | assigned_before(F.col("before"))

@@ -226,3 +226,13 @@ def test_trees_in_parts(monkeypatch):
     monkeypatch.setattr(context_tree, "TREE_KEYS", 100)
     many, parts = tops()
     assert one == 1 and many > 5 and whole == parts
+
+
+def test_secrets_end_at_their_closing_quote(spark):
+    from bookloom.llm import secret_forest
+
+    texts = ['token = "24be64aa91ff0c3d5e7b"### next', "key='a1b2c3d4e5f6a7b8c9'; x", 'password: "q9w8e7r6t5y4u3"', "x" * 60 + '_api_key="9f8e7d6c5b4a39281706"']
+    df = spark.createDataFrame([(i, t, "src") for i, t in enumerate(texts)], "doc_id long, text string, source string")
+    got = {(x.doc_id, x.core) for x in secret_forest.candidates(df).collect()}
+    assert {(0, "24be64aa91ff0c3d5e7b"), (1, "a1b2c3d4e5f6a7b8c9"), (2, "q9w8e7r6t5y4u3"), (3, "9f8e7d6c5b4a39281706")} <= got
+    assert not [c for _, c in got if "#" in c or '"' in c]
