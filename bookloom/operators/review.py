@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions.chars import BLANK_CHARS, HAN, clean, half_width_digits
+from bookloom.functions.numerals import number
 from bookloom.functions.titles import S, chapter, is_noise, strip_body
 
 #: Cyrillic and Greek letters and the Latin ones they look like. Fixed values.
@@ -15,6 +16,8 @@ _MIXED_WORD = r"([A-Za-z][\x{0370}-\x{03FF}\x{0400}-\x{04FF}]|[\x{0370}-\x{03FF}
 #: Words of a note at the end of a title. Fixed values.
 NOTE_WORDS = ("求", "票", "訂閱", "订阅", "收藏", "推薦", "推荐", "打賞", "打赏", "加更", "更", "補", "补")
 SECTION_UNITS = ("節", "节")
+#: Numerals in file names.
+_NUMERALS = "零〇一二兩两三四五六七八九十百千萬万"
 MIN_PIECE, PIECE, LONG, SURELY_LONG = 80, 300, 300, 500
 
 
@@ -144,11 +147,13 @@ def cut_paragraphs(lines: DataFrame, level: str = "high") -> DataFrame:
 
 
 def name_key(name: Column) -> Column:
-    """Sorts file names by the value of their numbers: 第9章 before 第10章, of either width,
-    Chinese ones digit by digit."""
-    digits = F.translate(half_width_digits(name), "〇零一二三四五六七八九", "00123456789")
-    parts = F.regexp_extract_all(digits, F.lit("([0-9]+|[^0-9]+)"), 1)
-    return F.array_join(F.transform(parts, lambda p: F.when(p.rlike("^[0-9]"), F.lpad(F.regexp_replace(p, "^0+", ""), 20, "0")).otherwise(F.lower(p))), "")
+    """Sorts file names by the value of their numbers, in figures of either width or Chinese
+    numerals: 第9章, 第十章, 第11章. Folders, the extension and the case of letters don't count."""
+    stem = F.regexp_replace(F.regexp_replace(name, r"^.*[/\\\\]", ""), r"(?<=.)\.[^.]*$", "")
+    parts = F.regexp_extract_all(half_width_digits(stem), F.lit(f"([0-9]+|[{_NUMERALS}]+|[^0-9{_NUMERALS}]+)"), 1)
+    padded = lambda digits: F.lpad(F.regexp_replace(digits, "^0+", ""), 20, "0")
+    sorts = lambda p: F.when(p.rlike("^[0-9]"), padded(p)).when(p.rlike(f"^[{_NUMERALS}]"), padded(number(p).cast("long").cast("string"))).otherwise(F.lower(p))
+    return F.array_join(F.transform(parts, sorts), "\x01")
 
 
 def merged_files(files: DataFrame, title_from_name: bool = False) -> DataFrame:

@@ -5,7 +5,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from bookloom.operators import acceptance, alignment, contents, fixes, reflow, volumes
+from bookloom.functions import quotes
+from bookloom.operators import acceptance, alignment, anomalies, contents, fixes, hints, reflow, volumes
 from bookloom.plans.derived import BOOKS_SQL, books, table
 
 ROWS = 400
@@ -205,6 +206,47 @@ SELECT l.doc_id, row_number() OVER (PARTITION BY l.doc_id ORDER BY l.s, l.pos) -
 FROM lines l LEFT JOIN (SELECT DISTINCT * FROM again) a ON a.doc_id = l.doc_id AND a.s = l.s"""
 Q10 = Q10 + "SELECT doc_id, row, kind, s AS start, e AS \"end\", after FROM p"
 
+def n06_number_anomalies(spark, sf_dir):
+    """Numbers that count on in groups of 50, some ten times too high, some with a digit too
+    many, some far off between two that follow each other; no SQL, tests have a direct pass."""
+    n = "o_orderkey % 50 + 1"
+    rows = table(spark, sf_dir, "orders").selectExpr(
+        "CAST(floor(o_orderkey / 50) AS BIGINT) AS grp", "o_orderkey % 50 AS idx",
+        f"CASE WHEN o_custkey % 13 = 0 THEN ({n}) * 10 WHEN o_custkey % 17 = 0 THEN CAST(concat('1', {n}) AS BIGINT) WHEN o_custkey % 19 = 0 THEN {n} + 32470 ELSE {n} END AS number")
+    return anomalies.number_anomalies(rows, ["grp"])
+
+
+_QUOTED = ("concat('“', p, '‘好’', p, '”')", "concat('他說“', p, '“好”', p, '”')", "concat('\"甲', p, '\"乙')", "concat('他說“', p, ' don’t go”')", "concat(p, '甲”')", "concat('“', p, ' go”')", "concat('\"甲', p)")
+_CORNERED = ("concat('「', p, '『好』', p, '」')", "concat('他說「', p, '『好』', p, '」')", "concat('「甲', p, '」乙')", "concat('他說「', p, ' don’t go」')", "concat(p, '甲」')", "concat('“', p, ' go”')", "concat('\"甲', p)")
+
+
+def _quoted(forms):
+    return "CASE " + " ".join(f"WHEN o_custkey % {len(forms)} = {i} THEN {form}" for i, form in enumerate(forms)) + " END"
+
+
+def f25_quote_styles(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    rows = spark.sql(f"SELECT o_orderkey, {_quoted(_QUOTED)} AS text FROM (SELECT *, o_orderpriority AS p FROM orders)")
+    return rows.select("o_orderkey", quotes.in_style(F.col("text"), "corner").alias("corner"))
+
+
+F25 = f"SELECT o_orderkey, {_quoted(_CORNERED)} AS corner FROM (SELECT *, o_orderpriority AS p FROM orders)"
+
+#: Paragraphs of two lines whose quotes fit together, and others, by book.
+_CUT = f"SELECT CAST(floor(o_orderkey / 600) AS BIGINT) AS doc_id, o_orderkey % 600 AS row, CAST(floor(o_orderkey / 600) AS BIGINT) % 3 AS k, o_orderkey % 3 AS nth, o_orderpriority AS p FROM orders"
+
+
+def q03_hard_wrapped(spark, sf_dir):
+    table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
+    lines = spark.sql(f"SELECT doc_id, row, CASE WHEN nth = 0 THEN concat('　　「', p) WHEN nth = 1 THEN CASE WHEN k = 2 THEN p ELSE concat(p, '」') END ELSE '' END AS text FROM ({_CUT})")
+    return hints.hard_wrapped(lines, lines.where("false"))
+
+
+Q03 = f"""WITH b AS ({_CUT}), p AS (SELECT doc_id, row - nth AS first, count(*) AS n FROM b WHERE nth < 2 AND k < 2 GROUP BY ALL HAVING count(*) = 2)
+SELECT doc_id, count(*) AS n_paragraphs, CAST(2 * count(*) AS BIGINT) AS n_covered, CAST(max(c) AS BIGINT) AS n_problems
+FROM p JOIN (SELECT doc_id, count(*) AS c FROM b WHERE nth < 2 AND k < 2 GROUP BY doc_id) USING (doc_id) GROUP BY doc_id HAVING count(*) >= {hints.LEAST_PARAGRAPHS}"""
+
 QUERIES = {"t11_accepted_titles": (t11_accepted_titles, T11), "t07_absorbed_titles": (t07_absorbed_titles, None), "t13_inferred_volumes": (t13_inferred_volumes, T13),
            "r01_joined_lines": (r01_joined_lines, R01), "r02_even_spaces": (r02_even_spaces, R02), "u02_aligned_versions": (u02_aligned_versions, U02),
-           "q10_fix_plans": (q10_fix_plans, Q10), "q11_fixed_lines": (q11_fixed_lines, Q11)}
+           "q10_fix_plans": (q10_fix_plans, Q10), "q11_fixed_lines": (q11_fixed_lines, Q11),
+           "n06_number_anomalies": (n06_number_anomalies, None), "f25_quote_styles": (f25_quote_styles, F25), "q03_hard_wrapped": (q03_hard_wrapped, Q03)}

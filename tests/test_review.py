@@ -47,3 +47,11 @@ def test_files_and_candidates(spark):
     titles = spark.createDataFrame([(1, 5), (1, 9)], "doc_id long, row long")
     left = sorted((x.doc_id, x.start, len(x.types)) for x in review.without_front_matter(candidates, titles).collect())
     assert left == [(1, 0, 2), (1, 2, 1), (2, 0, 1)]
+
+
+def test_file_names_by_the_value_of_their_numbers(spark):
+    from bookloom.operators import review
+
+    names = ["第九章.txt", "第十章.txt", "第11章.txt", "第十二章.txt", "第２０章.txt", "第九十九章.txt", "第100章.txt", "第一百零一章.txt", "第一千章.txt"]
+    rows = spark.createDataFrame([(f"dir/9/{n}",) for n in reversed(names)], "name string")
+    assert [r.name[6:] for r in rows.orderBy(review.name_key(F.col("name"))).collect()] == names
