@@ -9,11 +9,14 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.chars import BLANK, BLANK_CHARS, char_count, clean
 from bookloom.functions.context import end_of, ends_in_period, only_noted
+from bookloom.functions.forms import words
 from bookloom.functions.headings import marker, unmarked
 from bookloom.functions.rules import matched
 from bookloom.functions.titles import (
-    ALLOWED_TAILS, TITLE_LIMIT, chapter, forbidden_tail, merged_subtitle, mixed, no_heading, range_end, special, strip_body, title_length, valid_title, volume, weak)
+    ALLOWED_TAILS, NAMED_VOLUMES, SPECIALS, TITLE_LIMIT, chapter, forbidden_tail, merged_subtitle, mixed, no_heading, range_end, special, strip_body, title_length, valid_title, volume, weak)
 
+#: What every title of the grammar has in it somewhere: 第, 番外, a volume's or a special word.
+MAYBE = "第|番外|" + words(*NAMED_VOLUMES, *SPECIALS)
 #: Headings repeated within so many characters and rows are one.
 REPEAT_CHARS, REPEAT_ROWS = 100, 40
 #: What no line is that holds a chapter's name: dialogue, notes, links.
@@ -29,6 +32,8 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
     titles only behind certain others, with range_end and accepts (see acceptance)."""
     text = clean(unmarked(F.col("text")))
     found = lines.select("doc_id", "row", text.alias("t"), marker(F.col("text")).alias("mark")).where("t <> '' AND mark <> 'exclude'")
+    if not rules:  # one pattern lets body lines go before the grammar is asked
+        found = found.where((F.col("mark") != "none") | F.col("t").rlike(MAYBE))
     parsed = found.select("doc_id", "row", "t", "mark", mixed(F.col("t"), short_volume).alias("m"), (matched(F.col("t"), rules, allowed, more, limit) if rules else F.lit(None)).alias("r"),
                           volume(F.col("t")).alias("v"), chapter(F.col("t")).alias("c"), special(F.col("t")).alias("s"),
                           valid_title(F.col("t"), allowed, more, limit).alias("valid"), no_heading(F.col("t")).isNull().alias("heading"))
@@ -65,10 +70,11 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
               .when(c("s").isNotNull() & c("ok"), F.array(event(0, "special", "auto", c("s.work"), c("s.word"), none, "", c("s.name"))))
               .when(c("mark") == "include", F.array(event(0, "chapter", "marker", "", "", none, "", c("t")))))
     if not contextual:
-        return parsed.select("doc_id", "row", F.explode(events).alias("e")).select("doc_id", "row", "e.*")
+        # outer: no filter on the events is inferred, which would ask the grammar again for each use
+        return parsed.select("doc_id", "row", F.explode_outer(events).alias("e")).where("e IS NOT NULL").select("doc_id", "row", "e.*")
     both = c("m").isNotNull() & mixed_ok
-    out = parsed.select("doc_id", "row", F.explode(events).alias("e"), F.when(~both, range_end(c("t"))).alias("range_end"), F.when(both, "always").otherwise(accepts).alias("accepts"), "mark")
-    out = out.select("doc_id", "row", "e.*", "range_end", "accepts", "mark").withColumn("source", F.when(F.col("mark") == "include", "marker").otherwise(F.col("source"))).drop("mark")
+    out = parsed.select("doc_id", "row", F.explode_outer(events).alias("e"), F.when(~both, range_end(c("t"))).alias("range_end"), F.when(both, "always").otherwise(accepts).alias("accepts"), "mark")
+    out = out.where("e IS NOT NULL").select("doc_id", "row", "e.*", "range_end", "accepts", "mark").withColumn("source", F.when(F.col("mark") == "include", "marker").otherwise(F.col("source"))).drop("mark")
     # only chapters of the grammar wait for others; what a marker or a rule says holds
     forced, asked = F.col("source").isin("marker", "rule"), (F.col("kind") == "chapter") & (F.col("part") == 0)
     out = out.where(forced | asked | (F.col("accepts") == "always"))

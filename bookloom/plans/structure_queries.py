@@ -25,7 +25,7 @@ _BOOK = f"""SELECT CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS doc_id, o_order
 def counting_lines(spark, sf_dir):
     """(doc_id, row, text)"""
     table(spark, sf_dir, "orders").createOrReplaceTempView("orders")
-    return spark.sql(f"SELECT doc_id, row, {_COUNTED} AS text FROM ({_BOOK})")
+    return spark.sql(f"SELECT doc_id, row, {_COUNTED} AS text FROM ({_BOOK})").repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 def t11_accepted_titles(spark, sf_dir):

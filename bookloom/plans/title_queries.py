@@ -27,7 +27,8 @@ def title_lines(spark, sf_dir):
     """(doc_id, row, text)"""
     orders = table(spark, sf_dir, "orders").selectExpr(
         f"o_orderkey % {ROWS} AS row", f"CAST(floor(o_orderkey / {ROWS}) AS BIGINT) AS doc_id", "o_orderkey * 7 % 997 + 1 AS n", "o_orderkey + o_custkey % 5 AS k", "o_orderpriority AS p", "o_orderstatus AS s")
-    return orders.selectExpr("doc_id", "row", f"{_TEXT} AS text")
+    # dealt by book before they are parsed, as the windows behind need them
+    return orders.selectExpr("doc_id", "row", f"{_TEXT} AS text").repartition(spark.sparkContext.defaultParallelism, "doc_id")
 
 
 LINES = f"""tl AS (
