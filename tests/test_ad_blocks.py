@@ -15,7 +15,7 @@ def frame(spark, books):
 
 def direct_growth(texts, start, end, titles):
     sep = lambda i: len(texts[i].strip()) >= 3 and texts[i].strip()[0] in "-=*" and set(texts[i].strip()) == {texts[i].strip()[0]} and i not in titles
-    worded = lambda i: any(w in texts[i] for w in ("加群1234", "首發", "微信", "轉載請", "www.a.com"))
+    worded = lambda i: any(w in texts[i] for w in ("加群1234", "網址", "微信", "本書來自", "www.a.com"))
 
     def find(row, step):
         seen = 0
@@ -46,7 +46,7 @@ def direct_growth(texts, start, end, titles):
 
 def test_growth_against_a_direct_version(spark):
     r = random.Random(6)
-    kinds = ["---", "", "加群12345", "首發", "山路", "=====", "微信", "轉載請注意", "第1章 山"]
+    kinds = ["---", "", "加群12345", "網址", "山路", "=====", "微信", "本書來自某處", "第1章 山"]
     books, titles, hits = {}, {}, []
     for d in range(60):
         books[d] = [r.choice(kinds[:8] if d % 3 else kinds) if r.random() < 0.9 else "---" for _ in range(40)]
