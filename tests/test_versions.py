@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from bookloom.operators import alignment, contents, volumes
+from bookloom.operators import alignment, contents, editing, volumes
 
 ROWS = "doc_id long, idx long, key string, loose string"
 
@@ -97,3 +97,50 @@ def test_volumes(spark):
     for d, (name, (_, volumes_, rows)) in enumerate(BOOKS.items()):
         assert sorted(tuple(x)[1:] for x in shown if x.doc_id == d) == volumes_, name
         assert sorted((x.row, x.number) for x in members if x.doc_id == d) == rows, name
+
+
+def direct_choices(texts, groups):
+    """groups: lists of (row, end, n_chars, keep)."""
+    gone, new = set(), {}
+    for members in groups:
+        keeps = [k for *_, k in members]
+        if all(keeps) or not any(keeps):
+            continue
+        if min(n for _, _, n, _ in members) >= 100:
+            gone |= {i for a, b, _, k in members if not k for i in range(a, b)}
+            continue
+        first, kept = members[0][0], next(a for a, _, _, k in members if k)
+        title = texts[kept]
+        mark = next((texts[a][texts[a].index("[::"):] for a, *_ in members if "[::" in texts[a] and "X" not in texts[a]), "")
+        new[first] = title if "[::" in title and "X" not in title else title + mark
+        gone |= {a for a, _, _, k in members if (not k or a == kept) and a != first}
+    out, cut = [], False
+    for i, t in enumerate(texts):
+        if i in gone:
+            cut = True
+            continue
+        t = new.get(i, t)
+        if not (cut and not t and out and not texts[out[-1][0]]):
+            out.append((i, t))
+        cut = False
+    return out
+
+
+def test_choices(spark):
+    r = random.Random(11)
+    books, members, groups = {}, [], {}
+    for d in range(25):
+        texts, groups[d] = [""] * r.randrange(2), []
+        for g in range(4):
+            group = []
+            for _ in range(r.randrange(1, 4)):
+                row = len(texts)
+                texts += [f"第{g}章" + r.choice(["", "", "[::]", "[::T]", "[::X]"])] + r.choice([[], [""], ["文", ""], ["", "文"], ["", "文", ""]])
+                group.append((row, len(texts), r.choice([20, 200, 300]), r.random() < 0.5))
+            groups[d].append(group)
+            members += [(d, g, *m) for m in group]
+        books[d] = texts
+    lines = spark.createDataFrame([(d, i, t) for d, texts in books.items() for i, t in enumerate(texts)], "doc_id long, row long, text string")
+    got = editing.with_choices(lines, spark.createDataFrame(members, "doc_id long, group_id long, row long, end long, n_chars long, keep boolean")).collect()
+    for d, texts in books.items():
+        assert [(x.src_row, x.text) for x in sorted((x for x in got if x.doc_id == d), key=lambda x: x.row)] == direct_choices(texts, groups[d]), d
