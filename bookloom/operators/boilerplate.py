@@ -6,16 +6,24 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions.chars import compact
-from bookloom.functions.markup import decoded, untagged, without_forum_codes
+from bookloom.functions.markup import bind, decoded, untagged, without_forum_codes
 
 MIN_LENGTH, MAX_LENGTH, MIN_COUNT = 12, 180, 3
 PASSAGE_ROWS = 6
-OPENING_QUOTES = "[\"“‘「『']"
+# Fixed values of the text format
+OPENING_QUOTES, CLOSING_QUOTES = "[\"“「『]", "[\"”」』]"
+SPEAKER = f"^[^:：“「『\"]{{1,8}}[:：]{OPENING_QUOTES}"
+#: Up to three different letters; what was matched is not tried again.
+FEW_LETTERS = r"^(.)\1*+(?:(.)(?:\1|\2)*+(?:(.)(?:\1|\2|\3)*+)?)?$"
+SYSTEM = r"^[【\[][^】\]]{1,40}[】\]]$"
 
 
 def is_dialogue_or_marks(form: Column) -> Column:
-    """Quoted speech, or nothing but punctuation."""
-    return form.rlike(f"^{OPENING_QUOTES}") | ~form.rlike(r"[\p{L}\p{Nd}]")
+    """What stories repeat: speech in quotes, or behind a speaker's name; a message of a system in
+    brackets; a sound (up to three different letters, one of them three times); or nothing but
+    punctuation. form: compact."""
+    sound = bind(F.regexp_replace(form, r"[^\p{L}\p{N}]", ""), lambda letters: letters.rlike(FEW_LETTERS) & letters.rlike(r"(.).*\1.*\1"))
+    return (form.rlike(f"^{OPENING_QUOTES}") & form.rlike(f"{CLOSING_QUOTES}$")) | form.rlike(SPEAKER) | form.rlike(SYSTEM) | ~form.rlike(r"[\p{L}\p{N}]") | sound
 
 
 def is_separator(text: Column) -> Column:

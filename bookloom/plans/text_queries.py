@@ -12,7 +12,8 @@ from bookloom.sources import lines as source
 _FORMS_SQL = LINES_SQL + """,
 forms AS (SELECT *, lower(regexp_replace(text, '[ \\t\\n\\r\\f]+', '', 'g')) AS form FROM lines)"""
 _REPEATED_SQL = _FORMS_SQL + """,
-wanted AS (SELECT * FROM forms WHERE length(form) BETWEEN 12 AND 180 AND NOT regexp_matches(form, '^["“‘「『'']') AND regexp_matches(form, '[\\p{L}\\p{Nd}]')),
+wanted AS (SELECT * FROM forms WHERE length(form) BETWEEN 12 AND 180 AND NOT (form[1] IN ('"', '“', '「', '『') AND form[-1] IN ('"', '”', '」', '』')) AND NOT regexp_matches(form, '^[^:：“「『"]{1,8}[:：][“「『"]') AND NOT regexp_matches(form, '^[【\\[][^】\\]]{1,40}[】\\]]$')
+  AND len(list_distinct(regexp_extract_all(form, '[\\p{L}\\p{N}]'))) > 0 AND NOT (len(list_distinct(regexp_extract_all(form, '[\\p{L}\\p{N}]'))) <= 3 AND list_max(list_transform(regexp_extract_all(form, '[\\p{L}\\p{N}]'), lambda c: len(list_filter(regexp_extract_all(form, '[\\p{L}\\p{N}]'), lambda d: d = c)))) >= 3)),
 found AS (SELECT doc_id, form, count(*) AS n, min(row) AS first_row FROM wanted GROUP BY ALL HAVING count(*) >= 3)"""
 _KEPT_SQL = _REPEATED_SQL + """,
 marked AS (SELECT f.doc_id, f.form, f.row, d.form IS NOT NULL AS hit FROM forms f LEFT JOIN found d USING (doc_id, form) WHERE f.form <> ''),

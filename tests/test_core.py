@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import glob
+import html
 import os
 import random
+import re
 
 import duckdb
 import pytest
@@ -180,3 +182,32 @@ def test_query_matches_sql(spark, oracle, name):
     assert columns == sorted(want.columns)
     got = sorted(repr(tuple(r)) for r in out.select(*columns).collect())
     assert got == sorted(map(repr, want.select(*[f'"{c}"' for c in columns]).fetchall()))
+
+
+def direct_story(form):
+    """P-06 as a loop over characters."""
+    letters = [c for c in form if c.isalnum()]
+    if not letters or re.match('^[^:：“「『"]{1,8}[:：][“「『"]', form) or re.match(r"^[【\[][^】\]]{1,40}[】\]]$", form):
+        return True
+    if len(set(letters)) <= 3 and max(letters.count(c) for c in letters) >= 3:
+        return True
+    return form[0] in "“「『\"" and form[-1] in "”」』\""
+
+
+def test_story_lines(spark):
+    r = random.Random(9)
+    forms = ["啪啪啪！！！", "噗滋……噗滋……噗滋……", "（本章完）", "【系統】升級", "【系統升級】", "名字：「你好」他說", "「你好」", "「你好」他說", "!!!", "a", "aab", "aaab", "abcabcabc", "abcdabcabc"]
+    forms += ["".join(r.choice("aabbcd!「」【】:") for _ in range(r.randrange(1, 12))) for _ in range(500)]
+    rows = spark.createDataFrame([(f, direct_story(f)) for f in forms], "form string, want boolean")
+    assert rows.where(boilerplate.is_dialogue_or_marks(F.col("form")) != F.col("want")).collect() == []
+
+
+def test_references(spark):
+    told = {"a&#65;b&#x4E2D;&amp;lt;": "aAb中&lt;", "&#38;lt;": "&lt;", "&amp;#65;": "&#65;", "&#0000065;": "A", "&#1;x": "&#1;x", "&#11;x": "x", "&#55296;": "\ufffd", "&#x110000;": "\ufffd", "&#147;q&#148;": "“q”",
+            "&#160;&emsp;&thinsp;|&#8195;": "   | ", "&#128512;": "😀", "&copy;&#65": "&copy;&#65", "&middot;&laquo;": "·«", "&#x3c;p&#62;": "<p>", "": "", "&#64976;": "", "&#129;": "\x81"}
+    rows = spark.createDataFrame([*told.items(), (None, None)], "text string, want string")
+    assert rows.select(markup.decoded(F.col("text")).alias("got"), "want", "text").where("NOT got <=> want").collect() == []
+    # as the standard library reads them, spaces apart
+    codes = [c for c in range(10, 0x3000) if c not in (0xA0, 0x2002, 0x2003, 0x2009)]
+    got = spark.createDataFrame([(c, f"&#{c};") for c in codes], "c int, text string").select("c", markup.decoded(F.col("text")).alias("t")).collect()
+    assert [x.c for x in got if x.t != html.unescape(f"&#{x.c};")] == []
