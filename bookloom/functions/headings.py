@@ -46,8 +46,8 @@ def parts(text: Column) -> dict[str, Column]:
 
 
 def weak(text: Column) -> dict[str, Column]:
-    """number, separator style and body of "12. x", "12、x", "#12 x", "(12) x"."""
-    pattern = r"^(#|\(|（)?([0-9]{1,5})(\)|）)?([.、:： ]|)[ ]*(.*)$"
+    """number (null beyond a long), separator style and body of "12. x", "12、x", "#12 x", "(12) x"."""
+    pattern = r"^(#|\(|（)?([0-9]+)(\)|）)?([.、:： ]|)[ ]*(.*)$"
     t = clean(text)
     return {"number": F.regexp_extract(t, pattern, 2).try_cast("long"),
             "style": F.concat(F.regexp_extract(t, pattern, 1), F.lit("N"), F.regexp_extract(t, pattern, 3), F.regexp_extract(t, pattern, 4)),

@@ -24,6 +24,12 @@ def one(spark, value, build):
     return spark.createDataFrame([(value,)], "x string").select(build(F.col("x")).alias("y")).first().y
 
 
+@pytest.mark.parametrize(("text", "want"), [
+    ("#123456. red bolt", (123456, "#N.", "red bolt")), ("1200000. red bolt", (1200000, "N.", "red bolt")), ("99999. x", (99999, "N.", "x")), ("9" * 20 + ". x", (None, "N.", "x"))])
+def test_weak_numbers_of_any_length(spark, text, want):
+    assert tuple(spark.createDataFrame([(text,)], "x string").select(*[c.alias(n) for n, c in headings.weak(F.col("x")).items()]).first()) == want
+
+
 @pytest.mark.parametrize(("text", "want"), [
     ("十二", 12), ("一百零五", 105), ("二〇一", 201), ("壹拾貳", 12), ("兩萬三千", 23000), ("１２.5", 12.5), ("99999999999", 0), ("十", 10), ("", 0), ("abc", 0),
     ("三億零五", 300000005), ("一千零一十", 1010)])
