@@ -55,3 +55,17 @@ def test_file_names_by_the_value_of_their_numbers(spark):
     names = ["第九章.txt", "第十章.txt", "第11章.txt", "第十二章.txt", "第２０章.txt", "第九十九章.txt", "第100章.txt", "第一百零一章.txt", "第一千章.txt"]
     rows = spark.createDataFrame([(f"dir/9/{n}",) for n in reversed(names)], "name string")
     assert [r.name[6:] for r in rows.orderBy(review.name_key(F.col("name"))).collect()] == names
+
+
+def test_same_books_in_pieces(spark, monkeypatch):
+    """Many files of a title meet in pieces: no row has all of them, every pair is found."""
+    monkeypatch.setattr(review, "SAME_PIECE", 4)
+    r = random.Random(3)
+    rows = [(i if i % 40 else None, r.choice(["Red Bolt", "red　bolt", "REDBOLT", "blue", None]), r.choice(["", "A a", "aa", "B", None])) for i in range(120)] + [(7, "blue", "B")]
+    files = spark.createDataFrame(rows, "path long, title string, author string")
+    fold = lambda x: None if x is None else re.sub("[ 　]", "", x).lower()
+    want = [(p, q, bool(fold(a)) and fold(a) == fold(b)) for p, t, a in rows for q, u, b in rows
+            if None not in (p, q, t, u) and p != q and fold(t) == fold(u) and (not a or not b or fold(a) == fold(b))]
+    assert sorted(tuple(x) for x in review.same_book(files, files).collect()) == sorted(want)
+    keyed = files.selectExpr("path", "lower(title) AS _t", "coalesce(author, '') AS _a")
+    assert review._pieces(keyed, "path", "_a").selectExpr("max(size(path)) AS n").first().n <= 12
