@@ -121,6 +121,28 @@ def test_line_recall(spark):
     assert sum(2 * i + 1 in groups for i in range(600)) >= 0.95 * 600
 
 
+def test_every_near_line_is_linked(spark):
+    """Lines that share their frequent runs with many others, which stand between them and
+    their near line in every block, are linked all the same."""
+    import random
+
+    r, rows = random.Random(13), []
+    common = [f"c{i}" for i in range(12)]
+    for i in range(300):
+        n = r.choice([10, 16, 20, 25, 40])
+        line = [r.choice(common) if r.random() < 0.7 else f"w{r.randrange(10 ** 5)}" for _ in range(n)]
+        new = list(line)
+        for j in r.sample(range(n), n // 5):
+            new[j] = f"x{i}y{j}"
+        rows += [(2 * i, " ".join(line)), (2 * i + 1, " ".join(new))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    linked = lambda **how: {x.doc_id: x.group_doc_id for x in fuzzy_lines.line_groups(frame, **how).collect()}
+    got = linked()
+    assert all(got.get(2 * i) == got.get(2 * i + 1) == 2 * i for i in range(300))
+    first = linked(exact=False)
+    assert sum(2 * i + 1 in first for i in range(300)) < 300  # what the first pass alone finds
+
+
 def test_simhash_lanes(spark, words):
     rows = [(i, " ".join(words[: 1 + i % 40] * (1 + i // 3))) for i in range(60)]
     for r in fuzzy_lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
