@@ -31,12 +31,14 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
     part: 0, and 1 for the chapter of a line that names both. contextual: also lines that are
     titles only behind certain others, with range_end and accepts (see acceptance)."""
     text = clean(unmarked(F.col("text")))
-    found = lines.select("doc_id", "row", text.alias("t"), marker(F.col("text")).alias("mark")).where("t <> '' AND mark <> 'exclude'")
+    # equal lines are parsed once
+    found = lines.select("text").distinct().select("text", text.alias("t"), marker(F.col("text")).alias("mark")).where("t <> '' AND mark <> 'exclude'")
     if not rules:  # one pattern lets body lines go before the grammar is asked
         found = found.where((F.col("mark") != "none") | F.col("t").rlike(MAYBE))
-    parsed = found.select("doc_id", "row", "t", "mark", mixed(F.col("t"), short_volume).alias("m"), (matched(F.col("t"), rules, allowed, more, limit) if rules else F.lit(None)).alias("r"),
-                          volume(F.col("t")).alias("v"), chapter(F.col("t")).alias("c"), special(F.col("t")).alias("s"),
-                          valid_title(F.col("t"), allowed, more, limit).alias("valid"), no_heading(F.col("t")).isNull().alias("heading"))
+    parsed = found.select("text", "t", "mark", mixed(F.col("t"), short_volume).alias("m"), (matched(F.col("t"), rules, allowed, more, limit) if rules else F.lit(None)).alias("r"),
+                          volume(F.col("t")).alias("v"), chapter(F.col("t")).alias("c"), special(F.col("t")).alias("s"))
+    known = {"volume": F.col("v"), "chapter": F.col("c"), "special": F.col("s")}  # each form is parsed once a line
+    parsed = parsed.withColumns({"valid": valid_title(F.col("t"), allowed, more, limit, known), "heading": no_heading(F.col("t"), known).isNull()})
     parsed = parsed.withColumn("ok", F.col("valid") & F.col("heading"))
     mixed_ok, accepts = F.col("ok"), F.lit("always")
     if contextual:
@@ -71,10 +73,11 @@ def titles(lines: DataFrame, rules=(), allowed: str = ALLOWED_TAILS, more: str =
               .when(c("mark") == "include", F.array(event(0, "chapter", "marker", "", "", none, "", c("t")))))
     if not contextual:
         # outer: no filter on the events is inferred, which would ask the grammar again for each use
-        return parsed.select("doc_id", "row", F.explode_outer(events).alias("e")).where("e IS NOT NULL").select("doc_id", "row", "e.*")
+        known = parsed.select("text", F.explode_outer(events).alias("e")).where("e IS NOT NULL")
+        return lines.select("doc_id", "row", "text").join(known, "text").select("doc_id", "row", "e.*")
     both = c("m").isNotNull() & mixed_ok
-    out = parsed.select("doc_id", "row", F.explode_outer(events).alias("e"), F.when(~both, range_end(c("t"))).alias("range_end"), F.when(both, "always").otherwise(accepts).alias("accepts"), "mark")
-    out = out.where("e IS NOT NULL").select("doc_id", "row", "e.*", "range_end", "accepts", "mark").withColumn("source", F.when(F.col("mark") == "include", "marker").otherwise(F.col("source"))).drop("mark")
+    out = parsed.select("text", F.explode_outer(events).alias("e"), F.when(~both, range_end(c("t"))).alias("range_end"), F.when(both, "always").otherwise(accepts).alias("accepts"), "mark")
+    out = lines.select("doc_id", "row", "text").join(out.where("e IS NOT NULL"), "text").select("doc_id", "row", "e.*", "range_end", "accepts", "mark").withColumn("source", F.when(F.col("mark") == "include", "marker").otherwise(F.col("source"))).drop("mark")
     # only chapters of the grammar wait for others; what a marker or a rule says holds
     forced, asked = F.col("source").isin("marker", "rule"), (F.col("kind") == "chapter") & (F.col("part") == 0)
     out = out.where(forced | asked | (F.col("accepts") == "always"))

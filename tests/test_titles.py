@@ -79,3 +79,12 @@ def test_user_rules_come_in_order(spark):
     rows = lines(spark, ["-- 3 --", "幕間：茶", "幕間茶", "正文 12. 山", "12. 山。", "-- 0 --"])
     got = {r.row: (r.x.rule, r.x.level, r.x.number, r.x.title) for r in rows.select("row", rules.matched(F.col("text"), mine).alias("x")).where("x IS NOT NULL").collect()}
     assert got == {0: ("mine", 1, 3, ""), 1: ("幕間", 2, 0, "幕間：茶"), 3: ("dot_number", 2, 12, "山")}
+
+
+def test_equal_lines_are_parsed_once(spark):
+    from bookloom.operators import contents
+
+    rows = [(d, r, t) for d in (1, 2) for r, t in enumerate(["第1章 山", "x", "第1章 山", None, "序章", "第一卷 水"])]
+    found = contents.titles(spark.createDataFrame(rows, "doc_id long, row long, text string"))
+    assert sorted((x.doc_id, x.row, x.kind, x.name) for x in found.collect()) == [(d, *x) for d in (1, 2) for x in ((0, "chapter", "山"), (2, "chapter", "山"), (4, "special", ""), (5, "volume", "水"))]
+    assert "Aggregate [text" in found._jdf.queryExecution().optimizedPlan().toString()
