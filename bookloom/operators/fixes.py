@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.forms import one_of
 from bookloom.operators.review import latin, suspicious
+from bookloom.runtime import checkpointed, dealt
 
 # Fixed values of the text format -----------------------------
 PAIRS = {"「": "」", "『": "』", "“": "”", "‘": "’"}
@@ -95,6 +96,12 @@ def local_fix(text: Column, kind: Column) -> Column:
             .when(kind == "homoglyph", latin(text)).when(kind == "noise_dot", dot_fix(text)).otherwise(text))
 
 
+#: What a line must hold for a fix to change it.
+_MAY_REPEAT = r"…|。。。|\.[. \x{3000}]"
+_MAY_DASH = rf"[{_D}{_class(TILDES)}]{{2}}"
+_MAY_DOT = r"[.．\x1e]"
+
+
 def balance(text: Column) -> Column:
     """stack: the closers that are missing at the end, innermost last; stray: a closer came
     that nothing had opened."""
@@ -110,8 +117,8 @@ def balance(text: Column) -> Column:
 
 
 def balanced(text: Column) -> Column:
-    b = balance(text)
-    return (b["stack"] == "") & ~b["stray"]
+    told = F.transform(F.array(balance(text)), lambda b: (b["stack"] == "") & ~b["stray"])
+    return F.when(text.rlike(one_of(OPENERS + CLOSERS)), F.element_at(told, 1)).when(text.isNotNull(), F.lit(True))
 
 
 def realigned(text: Column) -> Column:
@@ -122,21 +129,32 @@ def realigned(text: Column) -> Column:
         turned = F.array_join(F.transform(parts, lambda p, i: F.concat(F.when(i == 0, "").when(i % 2 == 1, opener).otherwise(closer), p)), "")
         return F.when(F.size(parts) % 2 == 1, turned).otherwise(t)
 
-    out = one(one(text, "“”\"", "“", "”"), "‘’", "‘", "’")
-    return F.when((out != text) & balanced(out), out)
+    out = F.transform(F.transform(F.array(text), lambda t: one(t, "“”\"", "“", "”")), lambda t: one(t, "‘’", "‘", "’"))
+    fits = F.element_at(F.transform(out, lambda t: F.when((t != text) & balanced(t), t)), 1)
+    return F.when(text.rlike("[“”‘’\"]"), fits)
 
 
 def plans(lines: DataFrame) -> DataFrame:
     """(doc_id, row, kind, start, end, after): lines start to end (exclusive) become after.
     Kinds as in KINDS; what has several right answers has no plan."""
     order = Window.partitionBy("doc_id").orderBy("row")
-    rows = lines.withColumn("text", F.coalesce("text", F.lit("")))
+    # the expressions below cost far more than the bytes of a line tell
+    rows = dealt(lines.withColumn("text", F.coalesce("text", F.lit(""))), "doc_id")
     near = F.array(*[F.lead("text", i).over(order) for i in (1, 2, 3)])
     rows = rows.withColumns({"_before": F.lag("text").over(order), "_next": F.lead("text").over(order), "_near": near})
     rows = rows.withColumns({"_i": indent_of(F.col("text")), "_t": body_of(F.col("text"))}).where("_t <> ''")
-    rows = rows.withColumns({"_b": balance(F.col("_t")), "_nb": body_of(F.coalesce("_next", F.lit(""))), "_pb": body_of(F.coalesce("_before", F.lit("")))})
-    t, i, row = F.col("_t"), F.col("_i"), F.col("row")
+    t = F.col("_t")
+    only_if = lambda pattern, new: F.when(t.rlike(pattern), new).otherwise(t)
+    cut_at = rf"([{_class(SENTENCE_ENDS)}][{_class(CLOSERS)}])(?=[{_class(OPENERS)}])"
+    rows = rows.withColumns({
+        "_b": F.when(t.rlike(one_of(OPENERS + CLOSERS)), balance(t)).otherwise(F.struct(F.lit("").alias("stack"), F.lit(False).alias("stray"))),
+        "_nb": body_of(F.coalesce("_next", F.lit(""))), "_pb": body_of(F.coalesce("_before", F.lit(""))), "_sep": separator_fix(t), "_rep": only_if(_MAY_REPEAT, repeated_fix(t)),
+        "_dash": only_if(_MAY_DASH, dash_fix(t)), "_dot": only_if(_MAY_DOT, dot_fix(t)),
+        "_cut": F.when(t.rlike(f"{cut_at}|\n"), F.split(F.regexp_replace(t, cut_at, "$1\n"), "\n"))})
+    stray, stack = F.col("_b.stray"), F.col("_b.stack")
     full = lambda c: F.coalesce(F.trim(F.translate(c, "\t　", "  ")) != "", F.lit(False))
+    rows = rows.withColumns({"_whole": F.when(stray, realigned(t)), "_broken": ~stray & (stack != "") & full(F.col("_next")) & balanced(F.concat("_t", "_nb"))})
+    i, row, cut, whole, broken = F.col("_i"), F.col("row"), F.col("_cut"), F.col("_whole"), F.col("_broken")
 
     def plan(kind, ok, after, start=row, end=row + 1):
         return F.when(ok, F.struct(F.lit(kind).alias("kind"), start.cast("long").alias("start"), end.cast("long").alias("end"), after.alias("after")))
@@ -146,9 +164,7 @@ def plans(lines: DataFrame) -> DataFrame:
 
     joined_before = F.array(F.concat(F.rtrim("_before"), t))
     leads = F.left(t, F.lit(1)).rlike(one_of(LEADING)) & ~t.startswith("。。。") & ~t.startswith("...")
-    stray, stack = F.col("_b.stray"), F.col("_b.stack")
-    cut = F.split(F.regexp_replace(t, rf"([{_class(SENTENCE_ENDS)}][{_class(CLOSERS)}])(?=[{_class(OPENERS)}])", "$1\n"), "\n")
-    is_separator = separator_fix(t) != t
+    is_separator = F.col("_sep") != t
     # one closer too many or one that is turned round
     opens_next = F.coalesce(F.left(F.get(F.filter(F.transform("_near", lambda x: body_of(F.coalesce(x, F.lit("")))), lambda x: x != ""), F.lit(0)), F.lit(1)).rlike(one_of(OPENERS)), F.lit(False))
     marks = F.regexp_replace(t, f"[^{_class(OPENERS + CLOSERS)}]", "")
@@ -159,13 +175,11 @@ def plans(lines: DataFrame) -> DataFrame:
     # the line before has opened what this one closes
     pb = balance(F.col("_pb"))
     continues = lone & full(F.col("_before")) & ~pb["stray"] & (pb["stack"] != "") & balanced(F.concat("_pb", "_t"))
-    whole = realigned(t)
     unpaired = (F.when(~stray, F.lit(None)).when(whole.isNotNull(), plan("unpaired", F.lit(True), F.array(F.concat(i, whole))))
                 .when(t.contains('"'), F.lit(None))
                 .when(turned, plan("unpaired", F.lit(True), F.array(F.concat(i, swapped))))
                 .when(continues, plan("unpaired", F.lit(True), joined_before, row - 1))
                 .when(lone, plan("unpaired", F.lit(True), F.array(F.concat(i, F.translate(first, CLOSERS, OPENERS), t)))))
-    broken = ~stray & (stack != "") & full(F.col("_next")) & balanced(F.concat("_t", "_nb"))
     # opened and not closed, the sentence is over and the next line is no speech: the closers go behind
     closes = ~stray & (stack != "") & ~broken & F.right(t, F.lit(1)).rlike(one_of(SENTENCE_ENDS)) & ~opens_next & ~t.contains('"')
     kinds = suspicious(t)
@@ -174,8 +188,8 @@ def plans(lines: DataFrame) -> DataFrame:
         plan("unpaired", closes, F.array(F.concat(i, t, F.reverse(stack)))),
         plan("unclosed", broken, F.array(F.concat(F.rtrim("text"), F.col("_nb"))), row, row + 2),
         plan("missing_separator", F.size(cut) > 1, F.transform(cut, lambda p: F.concat(i, p))),
-        own("separator_line", separator_fix(t)), F.when(~is_separator, own("repeated_punct", repeated_fix(t))), own("dash_run", dash_fix(t)),
-        F.when(F.array_contains(kinds, "homoglyph"), own("homoglyph", latin(t))), own("noise_dot", dot_fix(t))))
+        own("separator_line", F.col("_sep")), F.when(~is_separator, own("repeated_punct", F.col("_rep"))), own("dash_run", F.col("_dash")),
+        F.when(F.array_contains(kinds, "homoglyph"), own("homoglyph", latin(t))), own("noise_dot", F.col("_dot"))))
     return rows.select("doc_id", "row", F.explode(found).alias("p")).select("doc_id", "row", "p.*")
 
 
@@ -201,7 +215,7 @@ def chosen(found: DataFrame) -> DataFrame:
 def applied(lines: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The lines (doc_id, row, text) after the plans, and (doc_id, row, new_row) for every old
     row: the lines that it went into."""
-    told = chosen(found)
+    told = checkpointed(chosen(found))  # its parts read it several times
     taken = told.where("taken")
     covered = taken.select("doc_id", F.explode(F.sequence(F.col("start"), F.col("end") - 1)).alias("row"), F.col("start").alias("_at"))
     stays = lines.join(covered, ["doc_id", "row"], "left_anti").select("doc_id", F.col("row").alias("_at"), F.lit(0).alias("_pos"), "text")

@@ -27,6 +27,13 @@ def ship(spark: SparkSession) -> None:
     setattr(context, _SHIPPED, True)
 
 
+def dealt(df: DataFrame, *keys: str) -> DataFrame:
+    """df in more parts than there are cores, by keys if any: for rows that take long for their
+    few bytes, of which Spark, going by bytes, makes few tasks."""
+    spark = df.sparkSession
+    return df.repartition(max(4 * spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the folder that spark.checkpoint.dir names; where none is named,
     only local sessions get a temporary one."""

@@ -83,3 +83,12 @@ def test_skipped_fixes_are_done_again(spark):
     assert sorted((x.row, x.new_row) for x in where.where("doc_id = 1").collect()) == [(0, 0), (1, 0), (2, 1)]
     none = frame(spark, {1: []})
     assert [x.count() for x in fixes.applied(none, fixes.plans(none))] == [0, 0]
+
+
+def test_plans_are_made_once(spark):
+    lines = frame(spark, {1: ["他說", "，好。。。。", "「走！」「吧」"]})
+    found = fixes.plans(lines)
+    new, where = fixes.applied(lines, found)
+    # what follows reads the chosen plans and makes none again; plans spread over all cores
+    assert all("lead(" not in x._jdf.queryExecution().optimizedPlan().toString() for x in (new, where))
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
