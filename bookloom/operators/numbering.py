@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookloom.runtime import ship
+from bookloom.runtime import in_groups, ship, whole_groups
 
 
 def missing_ranges(numbers: DataFrame, group: list[str], mode: str = "middle") -> DataFrame:
@@ -103,14 +105,15 @@ def misplaced(numbers: DataFrame, group: list[str]) -> DataFrame:
     """(group, idx, number): numbers outside a longest increasing run that covers at
     least half of the group. A group's numbers go to one task: use it on books."""
     ship(numbers.sparkSession)
-    kinds = dict(numbers.dtypes)
-
-    def leftovers(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("idx", kind="stable")
-        kept = longest_increasing(rows["number"].tolist())
-        if 2 * len(kept) < len(rows):
-            return rows.iloc[:0]
-        return rows.drop(rows.index[kept])
 
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in (*group, "idx", "number"))
-    return numbers.select(*group, "idx", "number").groupBy(*group).applyInPandas(leftovers, schema)
+    def leftovers(batches):
+        for table, spans in whole_groups(batches):
+            found, left = [math.nan if x is None else x for x in table["number"].to_pylist()], []
+            for a, b in spans:
+                kept = longest_increasing(found[a:b])
+                if 2 * len(kept) >= b - a:
+                    left += sorted(set(range(a, b)) - {a + i for i in kept})
+            yield from table.drop_columns("_nth").take(pa.array(left, pa.int64())).to_batches()
+
+    rows = numbers.select(*group, "idx", "number")
+    return in_groups(rows, group, [F.col("idx").asc_nulls_last()]).mapInArrow(leftovers, rows.schema)
