@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookloom.runtime import ship
+from bookloom.runtime import checkpointed, in_groups, ship, whole_groups
 
 
 def longest_rise(pairs: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -71,12 +71,16 @@ def aligned(old: DataFrame, new: DataFrame, book: str = "doc_id") -> DataFrame:
     anchors = once["new"].join(once["old"], [book, "key"]).select(book, "new", "old")
     kind = old.schema[book].dataType.simpleString()
 
-    def rise(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(table["new"].to_pylist(), table["old"].to_pylist(), strict=True))
-        kept = longest_rise(rows)
-        return pa.table({book: pa.array([table[book][0].as_py()] * len(kept), table.schema.field(book).type), "new": pa.array([a for a, _ in kept], pa.int64()), "old": pa.array([b for _, b in kept], pa.int64())})
+    def rise(batches):
+        for table, spans in whole_groups(batches):
+            new, old, kept, at = table["new"].to_pylist(), table["old"].to_pylist(), [], []
+            for a, b in spans:
+                some = longest_rise(list(zip(new[a:b], old[a:b], strict=True)))
+                kept += some
+                at += [a] * len(some)
+            yield pa.RecordBatch.from_arrays([table[book].combine_chunks().take(pa.array(at, pa.int64())), pa.array([a for a, _ in kept], pa.int64()), pa.array([b for _, b in kept], pa.int64())], [book, "new", "old"])
 
-    kept = anchors.groupBy(book).applyInArrow(rise, f"{book} {kind}, new long, old long")
+    kept = checkpointed(in_groups(anchors, [book], [F.col("new"), F.col("old")]).mapInArrow(rise, f"{book} {kind}, new long, old long"))  # read three times
     order = Window.partitionBy(book).orderBy("idx")
 
     def gaps(name):
@@ -85,16 +89,22 @@ def aligned(old: DataFrame, new: DataFrame, book: str = "doc_id") -> DataFrame:
         return rows.withColumn("gap", F.coalesce(F.sum("_anchor").over(order), F.lit(0))).where("_anchor IS NULL").select(
             *[F.col(c).alias(c) for c in (book, "gap", "idx", "key", "loose")])  # attributes of its own, should both sides be one table
 
-    def pair(keys, left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (sorted(t.to_pylist(), key=lambda r: r["idx"]) for t in (left, right))
-        # null keys differ from each other
-        told = lambda rows, side: [(r["key"] if r["key"] is not None else (side, i), r["loose"]) for i, r in enumerate(rows)]
-        found = paired(told(a, 0), told(b, 1)) if a and b else []
-        of = left if a else right
-        return pa.table({book: pa.array([of[book][0].as_py()] * len(found), of.schema.field(book).type), "new_idx": pa.array([a[i]["idx"] for i, _, _ in found], pa.int64()),
-                         "old_idx": pa.array([b[j]["idx"] for _, j, _ in found], pa.int64()), "how": pa.array([h for _, _, h in found], pa.string())})
-
-    rest = gaps("new").groupBy(book, "gap").cogroup(gaps("old").groupBy(book, "gap")).applyInArrow(pair, f"{book} {kind}, new_idx long, old_idx long, how string")
+    def pair(batches):
+        for table, spans in whole_groups(batches):
+            side, idx, key, loose = (table[c].to_pylist() for c in ("side", "idx", "key", "loose"))
+            # null keys differ from each other
+            told = [(k if k is not None else (i,), x) for i, (k, x) in enumerate(zip(key, loose, strict=True))]
+            out = []
+            for a, b in spans:
+                middle = a + sum(side[a:b])
+                if a < middle < b:
+                    out += [(a, idx[a + i], idx[middle + j], how) for i, j, how in paired(told[a:middle], told[middle:b])]
+            at, new_idx, old_idx, hows = zip(*out, strict=True) if out else ((), (), (), ())
+            yield pa.RecordBatch.from_arrays([table[book].combine_chunks().take(pa.array(at, pa.int64())), pa.array(new_idx, pa.int64()), pa.array(old_idx, pa.int64()), pa.array(hows, pa.string())], [book, "new_idx", "old_idx", "how"])
+
+    # side: 1 of new rows, which come first
+    both = gaps("new").withColumn("side", F.lit(1)).unionByName(gaps("old").withColumn("side", F.lit(0)))
+    rest = in_groups(both, [book, "gap"], [F.col("side").desc(), F.col("idx")]).mapInArrow(pair, f"{book} {kind}, new_idx long, old_idx long, how string")
     return kept.select(book, F.col("new").alias("new_idx"), F.col("old").alias("old_idx"), F.lit("same").alias("how")).unionByName(rest)
 
 

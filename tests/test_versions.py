@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import random
 
-from bookloom.operators import alignment, contents, editing, volumes
+from bookloom.operators import alignment, contents, editing, numbering, volumes
 
 ROWS = "doc_id long, idx long, key string, loose string"
 
@@ -144,3 +144,28 @@ def test_choices(spark):
     got = editing.with_choices(lines, spark.createDataFrame(members, "doc_id long, group_id long, row long, end long, n_chars long, keep boolean")).collect()
     for d, texts in books.items():
         assert [(x.src_row, x.text) for x in sorted((x for x in got if x.doc_id == d), key=lambda x: x.row)] == direct_choices(texts, groups[d]), d
+
+
+def test_groups_share_calls(spark):
+    """Many small groups in a batch and groups over several batches, as by a direct pass."""
+    rng = random.Random(8)
+    rows = [(g, i, rng.randint(0, 30) if g else i) for g in range(40) for i in range(25 if g % 9 == 0 else rng.randint(1, 4))]
+    numbers = spark.createDataFrame(rows, "grp long, idx long, number long")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    try:
+        out = numbering.misplaced(numbers, ["grp"])
+        got = sorted(map(tuple, out.collect()))
+        old = spark.createDataFrame([(g, i, f"k{i % 6}", None) for g, i, _ in rows], ROWS)
+        pairs = alignment.aligned(old, old)
+        met = {(x.doc_id, x.new_idx, x.old_idx) for x in pairs.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    want = []
+    for g in range(40):
+        mine = [x for x in rows if x[0] == g]
+        kept = set(numbering.longest_increasing([n for _, _, n in mine]))
+        want += [x for i, x in enumerate(mine) if i not in kept] if 2 * len(kept) >= len(mine) else []
+    assert got == sorted(want)
+    assert met == {(g, i, i) for g, i, _ in rows}
+    # no call of Python for each group
+    assert not any("FlatMap" in x._jdf.queryExecution().executedPlan().toString() for x in (out, pairs))
