@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from bookloom.functions.chars import NUMBER, clean
+from bookloom.functions.chars import BLANK, NUMBER, clean
 from bookloom.functions.numerals import number
 
 # Fixed values of the text format: units, words, markers.
@@ -45,6 +45,11 @@ def parts(text: Column) -> dict[str, Column]:
     return {"kind": kind, "number_text": number_text, "unit": unit, "number": F.when(unit != "", number(number_text)), "name": F.regexp_extract(t, formal, 3)}
 
 
+def may_be_heading(text: Column) -> Column:
+    """False for most body lines: parts() finds no heading in them, and end_mark() no end."""
+    return text.rlike(f"^{BLANK}*[（(【]?[第本{''.join(w[0] for w in SPECIAL_WORDS.split('|'))}]")
+
+
 def weak(text: Column) -> dict[str, Column]:
     """number (null beyond a long), separator style and body of "12. x", "12、x", "#12 x", "(12) x"."""
     pattern = r"^(#|\(|（)?([0-9]+)(\)|）)?([.、:： ]|)[ ]*(.*)$"

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from bookloom.functions.chars import char_count
-from bookloom.functions.headings import end_mark, parts
+from bookloom.functions.headings import end_mark, may_be_heading, parts
+from bookloom.runtime import dealt
 
 
 def classified(lines: DataFrame) -> DataFrame:
@@ -17,7 +18,8 @@ def classified(lines: DataFrame) -> DataFrame:
 def toc(lines: DataFrame) -> DataFrame:
     """(doc_id, row, kind, unit, number, name, parent_row, ord) of headings. A chapter's
     parent is the last volume, unless that volume's end mark stands between."""
-    rows = classified(lines).withColumn("_end", end_mark(F.col("text")))
+    # the patterns are dear and most lines are text, which takes no part below
+    rows = classified(dealt(lines.where(may_be_heading(F.col("text"))), "doc_id")).withColumn("_end", end_mark(F.col("text")))
     by_row = Window.partitionBy("doc_id").orderBy("row").rowsBetween(Window.unboundedPreceding, 0)
     volume = F.last(F.when(F.col("kind") == "volume", F.col("row")).when(F.col("_end"), F.lit(-1)), ignorenulls=True).over(by_row)
     placed = rows.withColumn("_volume", volume).where("kind <> 'body' AND NOT _end")
@@ -26,20 +28,24 @@ def toc(lines: DataFrame) -> DataFrame:
     return placed.select("doc_id", "row", "kind", "unit", "number", "name", parent.alias("parent_row"), (F.row_number().over(order) - 1).cast("long").alias("ord"))
 
 
-def sections(lines: DataFrame, titles: DataFrame) -> DataFrame:
-    """lines with `section`: 0, 1, ... from title to title; what stands before the first
-    title belongs to the first section."""
+def _sectioned(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """sections() with _t, null but in the rows of titles."""
     marked = lines.join(titles.select("doc_id", "row", F.lit(1).alias("_t")), ["doc_id", "row"], "left")
     by_row = Window.partitionBy("doc_id").orderBy("row")
     n = F.sum(F.coalesce("_t", F.lit(0))).over(by_row)
-    return marked.withColumn("section", F.greatest(n - 1, F.lit(0)).cast("long")).drop("_t")
+    return marked.withColumn("section", F.greatest(n - 1, F.lit(0)).cast("long"))
+
+
+def sections(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """lines with `section`: 0, 1, ... from title to title; what stands before the first
+    title belongs to the first section."""
+    return _sectioned(lines, titles).drop("_t")
 
 
 def section_sizes(lines: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc_id, section, n_lines, n_chars) without the title rows' characters."""
-    body = sections(lines, titles).join(titles.select("doc_id", "row", F.lit(True).alias("_t")), ["doc_id", "row"], "left")
-    chars = F.when(F.col("_t"), 0).otherwise(char_count(F.col("text")))
-    return body.groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(chars).alias("n_chars"))
+    chars = F.when(F.col("_t").isNotNull(), 0).otherwise(char_count(F.col("text")))
+    return _sectioned(lines, titles).groupBy("doc_id", "section").agg(F.count(F.lit(1)).alias("n_lines"), F.sum(chars).alias("n_chars"))
 
 
 def section_texts(lines: DataFrame, titles: DataFrame) -> DataFrame:
