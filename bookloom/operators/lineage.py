@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from bookloom.functions.chars import BLANK_CHARS
 from bookloom.operators.alignment import aligned
+from bookloom.runtime import checkpointed, dealt
 
 
 def _full(text: Column) -> Column:
@@ -18,14 +19,14 @@ def _full(text: Column) -> Column:
 
 
 def _edges(old: DataFrame, new: DataFrame) -> DataFrame:
-    """(doc_id, n_old, n_new, head, tail) of texts on both sides: how many lines are equal at
+    """(doc_id, n_old, n_new, head, tail) of texts (doc_id, row, _key) on both sides: how many lines are equal at
     the beginning, and how many of the others at the end."""
     sizes = old.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_old")).join(new.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_new")), "doc_id")
     sized = lambda t, n: t.join(sizes.select("doc_id", n), "doc_id").withColumn("_back", F.col(n) - F.col("row")).drop(n)
     shortest = F.least("n_old", "n_new")
 
     def first_other(key):
-        a, b = (sized(t, n).select("doc_id", F.col(key).alias("_k"), F.coalesce("text", F.lit("")).alias(name)) for t, n, name in ((old, "n_old", "_a"), (new, "n_new", "_b")))
+        a, b = (sized(t, n).select("doc_id", F.col(key).alias("_k"), F.col("_key").alias(name)) for t, n, name in ((old, "n_old", "_a"), (new, "n_new", "_b")))
         return a.join(b, ["doc_id", "_k"]).where("_a <> _b").groupBy("doc_id").agg(F.min("_k").alias(f"_{key}_other"))
 
     both = sizes.join(first_other("row"), "doc_id", "left").join(first_other("_back"), "doc_id", "left")
@@ -43,21 +44,24 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     Equal lines at both ends need no comparison. Between them lines with text are aligned
     (alignment.aligned: unique lines as anchors, common subsequences of the gaps); blank lines
     go with the line in front of them."""
-    edges = _edges(old, new)
-    middle = lambda t, n: t.join(edges, "doc_id").where((F.col("row") >= F.col("head")) & (F.col("row") < F.col(n) - F.col("tail"))).where(_full(F.col("text"))).select(
-        "doc_id", F.col("row").alias("idx"), F.sha2("text", 256).alias("key"), F.lit(None).cast("string").alias("loose"))
+    # each is read several times
+    old, new = (checkpointed(dealt(t.select("doc_id", "row", _full(F.col("text")).alias("_full"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key")), "doc_id")) for t in (old, new))
+    edges = checkpointed(_edges(old, new))
+    middle = lambda t, n: t.join(edges, "doc_id").where((F.col("row") >= F.col("head")) & (F.col("row") < F.col(n) - F.col("tail"))).where("_full").select(
+        "doc_id", F.col("row").alias("idx"), F.col("_key").alias("key"), F.lit(None).cast("string").alias("loose"))
     pairs = aligned(middle(old, "n_old"), middle(new, "n_new")).select("doc_id", F.col("old_idx").alias("row"), F.col("new_idx").alias("_pair"))
     order = Window.partitionBy("doc_id").orderBy("row")
-    rows = old.select("doc_id", "row", F.when(_full(F.col("text")), 1).otherwise(0).alias("_full")).join(edges, "doc_id", "left").join(pairs, ["doc_id", "row"], "left")
+    rows = old.select("doc_id", "row", F.col("_full").cast("int").alias("_full")).join(edges, "doc_id", "left").join(pairs, ["doc_id", "row"], "left")
     to = F.when(F.col("row") < F.col("head"), F.col("row")).when(F.col("row") >= F.col("n_old") - F.col("tail"), F.col("row") + F.col("n_new") - F.col("n_old")).otherwise(F.col("_pair"))
     rows = rows.withColumns({"_to": to, "_texts": F.sum("_full").over(order)})
     at = F.when(F.col("_to").isNotNull(), F.struct("row", "_to", "_texts"))
     before = F.coalesce(F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.struct(F.lit(-1).cast("long").alias("row"), F.lit(-1).cast("long").alias("_to"), F.lit(0).cast("long").alias("_texts")))
     after = F.coalesce(F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.struct(F.col("n_old").alias("row"), F.col("n_new").alias("_to"), F.lit(0).cast("long").alias("_texts")))
     rows = rows.withColumns({"_before": before, "_after": after}).withColumn("_shift", F.col("_before._to") + F.col("row") - F.col("_before.row"))
+    rows = checkpointed(rows)
     # blank lines right behind the line in front, on both sides
     new_order = Window.partitionBy("doc_id").orderBy("row")
-    counted = new.select("doc_id", F.col("row"), F.sum(F.when(_full(F.col("text")), 1).otherwise(0)).over(new_order).alias("_n"))
+    counted = new.select("doc_id", F.col("row"), F.sum(F.col("_full").cast("int")).over(new_order).alias("_n"))
     blank_old = F.col("_to").isNull() & (F.col("_texts") == F.col("_before._texts")) & (F.col("_shift") < F.col("_after._to"))
     asked = rows.where(blank_old).select("doc_id", "row", "_shift", F.col("_before._to").alias("_from"))
     there = asked.join(counted.select("doc_id", F.col("row").alias("_shift"), "_n"), ["doc_id", "_shift"]).join(
