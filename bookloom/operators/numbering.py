@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from bookloom.runtime import in_groups, ship, whole_groups
+from bookloom.runtime import dealt, in_groups, ship, whole_groups
 
 
 def missing_ranges(numbers: DataFrame, group: list[str], mode: str = "middle") -> DataFrame:
@@ -47,12 +47,13 @@ def duplicates(segmented: DataFrame, group: list[str]) -> DataFrame:
 
 def compact_ranges(numbers: DataFrame, group: list[str]) -> DataFrame:
     """(group, ranges): distinct numbers as "1–3、7"."""
-    distinct = numbers.select(*group, "number").distinct()
+    # a fixed number of parts, as Spark would make few large ones of these few bytes
+    distinct = dealt(numbers.select(*group, "number").distinct(), *group)
     island = distinct.withColumn("_island", F.col("number") - F.row_number().over(Window.partitionBy(*group).orderBy("number")))
     runs = island.groupBy(*group, "_island").agg(F.min("number").alias("lo"), F.max("number").alias("hi"))
-    text = F.when(F.col("lo") == F.col("hi"), F.col("lo").cast("string")).otherwise(F.concat(F.col("lo").cast("string"), F.lit("–"), F.col("hi").cast("string")))
-    rows = runs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("lo", text.alias("text")))).alias("runs"))
-    return rows.select(*group, F.array_join(F.transform("runs", lambda r: r["text"]), "、").alias("ranges"))
+    rows = runs.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs"))
+    text = lambda r: F.when(r["lo"] == r["hi"], r["lo"].cast("string")).otherwise(F.concat(r["lo"].cast("string"), F.lit("–"), r["hi"].cast("string")))
+    return rows.select(*group, F.array_join(F.transform("runs", text), "、").alias("ranges"))
 
 
 def isolated_typos(numbers: DataFrame, group: list[str]) -> DataFrame:

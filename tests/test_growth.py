@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import time
 
-from bookloom.operators import duplicates, editing, review, structure
+from bookloom.operators import duplicates, editing, numbering, review, structure
 from bookloom.plans import review_queries
 from bookloom.sources import containers
 
@@ -49,3 +49,10 @@ def test_shared_sentences_are_found_once(spark):
     found = duplicates.similar_pairs(docs)
     # what the pairs are counted in is kept, without texts
     assert "regexp_replace" not in plan(found) and {tuple(x) for x in found.collect()} == {(a, b, 2, 3) for b in range(6) for a in range(b)}
+
+
+def test_ranges_are_dealt_over_all_cores(spark):
+    numbers = spark.createDataFrame([(g, n) for g in range(9) for n in (1, 2, 2, 4, 7, 8)], "grp long, number long")
+    found = numbering.compact_ranges(numbers, ["grp"])
+    assert {tuple(x) for x in found.collect()} == {(g, "1–2、4、7–8") for g in range(9)}
+    assert found.rdd.getNumPartitions() > spark.sparkContext.defaultParallelism
