@@ -221,3 +221,25 @@ def test_forest_held_out(spark):
     label = lambda found: found.where("doc_id < 150").withColumn("label", (F.col("doc_id") % 2).cast("double"))
     got = secret_forest.secrets(frame, label).where("doc_id >= 150").collect()
     assert len(got) >= 140 and sum(x.is_secret == (x.doc_id % 2 == 1) for x in got) >= 0.95 * len(got)
+
+
+def test_lines_without_a_twin_are_not_compared(spark):
+    """Similar lines keep a run in common, and lines like no other are out before any pair is made."""
+    import random
+
+    r = random.Random(14)
+    line = lambda n: [f"w{r.randrange(10 ** 6)}" for _ in range(n)]
+    rows = [(i, " ".join(line(r.randrange(8, 60)))) for i in range(200)]
+    for i, n in enumerate([4, 5, 6, 8, 9, 14, 20, 40, 100]):
+        base = line(n)
+        new = base + ["more"] if n == 4 else ["other" if j % 5 == 4 else w for j, w in enumerate(base)]
+        rows += [(1000 + 2 * i, " ".join(base)), (1001 + 2 * i, " ".join(new))]
+    found = fuzzy_lines.rare_runs(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    entries = found.where("place IS NOT NULL").select("place.*")
+    left = fuzzy_lines.runs_with_twins(found.where("place IS NULL").select("run", "k"), entries)
+    met = left.join(entries.select("key", "doc_id"), "key").selectExpr("run", "doc_id").collect()
+    runs = defaultdict(set)
+    for x in met:
+        runs[x.run].add(x.doc_id)
+    assert {i for g in runs.values() for i in g} == set(range(1000, 1018))
+    assert {tuple(sorted(g)) for g in runs.values()} == {(i, i + 1) for i in range(1000, 1018, 2)}
