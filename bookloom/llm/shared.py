@@ -99,6 +99,12 @@ def let(value, body):
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle and sort. Where no hint says so Spark broadcasts a side that it takes for small,
+    by the bytes of its files, whatever they unpack to and however many rows an explode makes of them."""
+    return df.hint("merge")
+
+
 def attach(rows: DataFrame, lookup: DataFrame, key: str, n_rows: int, count: str = "n") -> DataFrame:
     """rows left-joined with lookup (one row per key, with the key's row count in
     `count`). Heavy keys go by broadcast, the rest by a shuffle, so that no task gets
@@ -108,14 +114,14 @@ def attach(rows: DataFrame, lookup: DataFrame, key: str, n_rows: int, count: str
         F.broadcast(heavy.select(F.col(key), F.lit(True).alias("_heavy"))), key, "left")
     hot = marked.where("_heavy").drop("_heavy").join(F.broadcast(heavy), key)
     rest = marked.where("_heavy IS NULL").drop("_heavy").join(
-        lookup.where(F.col(count) * HEAVY_PART <= F.lit(n_rows)).drop(count), key, "left")
+        shuffled(lookup.where(F.col(count) * HEAVY_PART <= F.lit(n_rows)).drop(count)), key, "left")
     return hot.unionByName(rest)
 
 
 def _settled(edges: DataFrame) -> bool:
     """Every node has one smaller neighbour, which has none: stars."""
     doubled = edges.groupBy("a").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("a")
-    chained = edges.join(edges.select(F.col("b").alias("a")), "a", "left_semi").select("a")
+    chained = edges.join(shuffled(edges.select(F.col("b").alias("a"))), "a", "left_semi").select("a")
     return not doubled.union(chained).limit(1).count()
 
 
@@ -136,10 +142,10 @@ def components(edges: DataFrame, max_rounds: int = 100) -> DataFrame:
         # large star: larger neighbours of a node move to the least of its neighbourhood
         both = now.select("a", "b").union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = both.join(least, "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = both.join(shuffled(least), "a").where("b > a AND b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         # small star: a node and its smaller neighbours move to the least of them
         floor = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = large.join(floor, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+        small = large.join(shuffled(floor), "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
         step = written(small.union(floor).where("a <> b").distinct())
         drop_written(now)
         now = step

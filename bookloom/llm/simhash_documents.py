@@ -15,7 +15,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bookloom.llm.shared import attach, components, read, written
+from bookloom.llm.shared import attach, components, read, shuffled, written
 from bookloom.runtime import ship
 
 SHINGLE_WORDS = 3
@@ -75,7 +75,7 @@ def links(distinct: DataFrame, max_distance: int = MAX_DISTANCE) -> DataFrame:
               .withColumn("flip", F.explode(flips))
               .select("fp", "rep", F.col("own").bitwiseXOR(F.col("flip")).alias("segment")))
     near = (F.col("fp") < F.col("fp2")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("fp2"))) <= max_distance)
-    return (probes.join(table, "segment").where(near)
+    return (probes.join(shuffled(table), "segment").where(near)
             .select(F.col("rep").alias("a"), F.col("rep2").alias("b")).distinct())
 
 
@@ -94,7 +94,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         F.min("_id").alias("rep"), F.count(F.lit(1)).alias("n")))
     n_rows = distinct.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     found = components(links(distinct.select("fp", "rep"), max_distance))
-    named = distinct.join(found, distinct.rep == found.node, "left").select(
+    named = distinct.join(shuffled(found), distinct.rep == found.node, "left").select(
         "fp", "n", F.coalesce("component", "rep").alias("component"))
     out = attach(prints.where("_id IS NOT NULL"), named, "fp", n_rows)
     orphans = prints.where("_id IS NULL").withColumn("component", F.lit(None).cast("long"))

@@ -236,3 +236,26 @@ def test_secrets_end_at_their_closing_quote(spark):
     got = {(x.doc_id, x.core) for x in secret_forest.candidates(df).collect()}
     assert {(0, "24be64aa91ff0c3d5e7b"), (1, "a1b2c3d4e5f6a7b8c9"), (2, "q9w8e7r6t5y4u3"), (3, "9f8e7d6c5b4a39281706")} <= got
     assert not [c for _, c in got if "#" in c or '"' in c]
+
+
+def test_nothing_is_broadcast_by_estimate(spark, monkeypatch):
+    """Only what a hint names is broadcast: files of 10 MB hold far more rows, and an explode makes more of them."""
+    from bookloom.llm import shared
+
+    plans, write = [], shared.written
+
+    def told(df):
+        run = df._jdf.queryExecution()
+        plans.append((run.sparkPlan().toString().count("BroadcastHashJoin"), run.optimizedPlan().toString().count("strategy=broadcast")))
+        return write(df)
+
+    for module in (shared, simhash_documents):
+        monkeypatch.setattr(module, "written", told)
+    docs = spark.createDataFrame([(i, f"one two three {i % 7}") for i in range(30)], "doc_id long, text string")
+    write(told(simhash_documents.kept(docs)))
+    told(simhash_documents.links(write(spark.createDataFrame([(0, 1), (1, 2), (14, 3)], "fp long, rep long"))))
+    assert all(made == named for made, named in plans) and any(named for _, named in plans)
+    edges = write(spark.createDataFrame([(a, a + 1) for a in range(9)], "a long, b long"))
+    plans.clear()
+    assert {tuple(x) for x in shared.components(edges).collect()} == {(a, 0) for a in range(10)}
+    assert len(plans) > 1 and not sum(made for made, _ in plans)
