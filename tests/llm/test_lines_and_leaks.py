@@ -143,6 +143,27 @@ def test_every_near_line_is_linked(spark):
     assert sum(2 * i + 1 in first for i in range(300)) < 300  # what the first pass alone finds
 
 
+def test_lines_that_share_a_run_by_chance_make_no_pairs(spark, monkeypatch):
+    """Of lines that share runs but few words none is written as a pair; a similar one among them is found."""
+    import random
+
+    r, seen, verify = random.Random(14), [], fuzzy_lines.verified
+    monkeypatch.setattr(fuzzy_lines, "verified", lambda pairs, signs: (seen.append(pairs.count()), verify(pairs, signs))[1])
+    line = lambda: "verylongword anotherlongword lastlongword " + " ".join(f"w{r.randrange(10 ** 6)}" for _ in range(17))
+    rows = [(i, line()) for i in range(60)]
+    rows.append((60, " ".join([*rows[7][1].split()[:16], "a", "b", "c", "d"])))
+    got = {tuple(x) for x in fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {(7, 0, 7, 0, True), (60, 0, 7, 0, False)}
+    assert len(seen) == 2 and seen[1] < 10  # 1769 by the run alone
+
+
+def test_slices_of_runs(spark, words):
+    frame = spark.createDataFrame([(i, t) for i, t in line_rows(words) if i not in (8, 9)], "doc_id long, text string")
+    rows = lambda *part: sorted(map(repr, fuzzy_lines.rare_runs(frame, *part).collect()))
+    parts = [rows(i, fuzzy_lines.SLICES) for i in range(fuzzy_lines.SLICES)]
+    assert len(parts) > 1 and all(parts) and sorted(sum(parts, [])) == rows()
+
+
 def test_simhash_lanes(spark, words):
     rows = [(i, " ".join(words[: 1 + i % 40] * (1 + i // 3))) for i in range(60)]
     for r in fuzzy_lines.occurrences(spark.createDataFrame(rows, "doc_id long, text string")).collect():
