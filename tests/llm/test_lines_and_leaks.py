@@ -264,3 +264,21 @@ def test_lines_without_a_twin_are_not_compared(spark):
         runs[x.run].add(x.doc_id)
     assert {i for g in runs.values() for i in g} == set(range(1000, 1018))
     assert {tuple(sorted(g)) for g in runs.values()} == {(i, i + 1) for i in range(1000, 1018, 2)}
+
+
+def test_lines_are_broadcast_by_no_estimate(spark, monkeypatch):
+    """Joins of line dedup broadcast heavy keys only, which a hint names, however small the files of a table are."""
+    from bookloom.llm import shared
+
+    plans, write = [], shared.written
+
+    def told(df):
+        run = df._jdf.queryExecution()
+        plans.append((run.sparkPlan().toString().count("BroadcastHashJoin"), run.optimizedPlan().toString().count("strategy=broadcast")))
+        return write(df)
+
+    for module in (shared, fuzzy_lines):
+        monkeypatch.setattr(module, "written", told)
+    rows = [(i, f"one two three four five six seven eight nine w{i % 9}") for i in range(20)]
+    assert fuzzy_lines.line_groups(spark.createDataFrame(rows, "doc_id long, text string")).count() == 20
+    assert len(plans) > 9 and all(made == named for made, named in plans)
