@@ -18,6 +18,11 @@ def _full(text: Column) -> Column:
     return F.translate(F.coalesce(text, F.lit("")), BLANK_CHARS, "") != ""
 
 
+def _key(text: Column) -> Column:
+    """120 bits of a hash in 20 characters: rows are kept and shuffled with it several times."""
+    return F.base64(F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")), 256)), 1, 15))
+
+
 def _edges(old: DataFrame, new: DataFrame) -> DataFrame:
     """(doc_id, n_old, n_new, head, tail) of texts (doc_id, row, _key) on both sides: how many lines are equal at
     the beginning, and how many of the others at the end."""
@@ -45,7 +50,7 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     (alignment.aligned: unique lines as anchors, common subsequences of the gaps); blank lines
     go with the line in front of them."""
     # each is read several times
-    old, new = (checkpointed(dealt(t.select("doc_id", "row", _full(F.col("text")).alias("_full"), F.sha2(F.coalesce("text", F.lit("")), 256).alias("_key")), "doc_id")) for t in (old, new))
+    old, new = (checkpointed(dealt(t.select("doc_id", "row", _full(F.col("text")).alias("_full"), _key(F.col("text")).alias("_key")), "doc_id")) for t in (old, new))
     edges = checkpointed(_edges(old, new))
     middle = lambda t, n: t.join(edges, "doc_id").where((F.col("row") >= F.col("head")) & (F.col("row") < F.col(n) - F.col("tail"))).where("_full").select(
         "doc_id", F.col("row").alias("idx"), F.col("_key").alias("key"), F.lit(None).cast("string").alias("loose"))
@@ -58,20 +63,21 @@ def changed_rows(old: DataFrame, new: DataFrame) -> DataFrame:
     before = F.coalesce(F.last(at, ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0)), F.struct(F.lit(-1).cast("long").alias("row"), F.lit(-1).cast("long").alias("_to"), F.lit(0).cast("long").alias("_texts")))
     after = F.coalesce(F.first(at, ignorenulls=True).over(order.rowsBetween(0, Window.unboundedFollowing)), F.struct(F.col("n_old").alias("row"), F.col("n_new").alias("_to"), F.lit(0).cast("long").alias("_texts")))
     rows = rows.withColumns({"_before": before, "_after": after}).withColumn("_shift", F.col("_before._to") + F.col("row") - F.col("_before.row"))
-    rows = checkpointed(rows)
+    # of what is found only what is asked for below is kept, as a checkpoint is not compressed
+    blank = F.col("_to").isNull() & (F.col("_texts") == F.col("_before._texts")) & (F.col("_shift") < F.col("_after._to"))
+    even = (F.col("_after.row") - F.col("_before.row")) == (F.col("_after._to") - F.col("_before._to"))
+    rows = checkpointed(rows.select("doc_id", "row", "_to", "_shift", F.col("_before._to").alias("_from"), blank.alias("_blank"), even.alias("_even")))
     # blank lines right behind the line in front, on both sides
     new_order = Window.partitionBy("doc_id").orderBy("row")
     counted = new.select("doc_id", F.col("row"), F.sum(F.col("_full").cast("int")).over(new_order).alias("_n"))
-    blank_old = F.col("_to").isNull() & (F.col("_texts") == F.col("_before._texts")) & (F.col("_shift") < F.col("_after._to"))
-    asked = rows.where(blank_old).select("doc_id", "row", "_shift", F.col("_before._to").alias("_from"))
+    asked = rows.where("_blank").select("doc_id", "row", "_shift", "_from")
     there = asked.join(counted.select("doc_id", F.col("row").alias("_shift"), "_n"), ["doc_id", "_shift"]).join(
         counted.select("doc_id", F.col("row").alias("_from"), F.col("_n").alias("_n0")), ["doc_id", "_from"], "left")
     follows = there.where(F.col("_n") == F.coalesce("_n0", F.lit(0))).select("doc_id", "row", F.lit(True).alias("_follows"))
     rows = rows.join(follows, ["doc_id", "row"], "left")
-    even = (F.col("_after.row") - F.col("_before.row")) == (F.col("_after._to") - F.col("_before._to"))
     found = F.when(F.col("_to").isNotNull(), F.struct(F.col("_to").alias("r"), F.lit("same").alias("h"))).when(
         F.col("_follows"), F.struct(F.col("_shift").alias("r"), F.lit("same").alias("h"))).when(
-        even, F.struct(F.col("_shift").alias("r"), F.lit("replaced").alias("h"))).otherwise(F.struct(F.col("_before._to").alias("r"), F.lit("gone").alias("h")))
+        F.col("_even"), F.struct(F.col("_shift").alias("r"), F.lit("replaced").alias("h"))).otherwise(F.struct(F.col("_from").alias("r"), F.lit("gone").alias("h")))
     return rows.select("doc_id", F.col("row").alias("old_row"), found["r"].alias("new_row"), found["h"].alias("how"))
 
 

@@ -67,11 +67,18 @@ def whole_groups(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[pa.Table,
 
 def checkpointed(df: DataFrame) -> DataFrame:
     """df.checkpoint() in the folder that spark.checkpoint.dir names; where none is named,
-    only local sessions get a temporary one."""
-    context = df.sparkSession.sparkContext
+    only local sessions get a temporary one. The shuffle files of the query go with it, not when
+    the driver happens to collect its garbage."""
+    spark, context = df.sparkSession, df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not re.fullmatch(r"local(\[.*\])?", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    freed = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(freed, None)
+    spark.conf.set(freed, "true")
+    try:
+        return df.select("*").checkpoint()  # a query of its own, as the setting is read when a query is made
+    finally:
+        spark.conf.unset(freed) if before is None else spark.conf.set(freed, before)

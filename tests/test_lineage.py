@@ -107,3 +107,17 @@ def test_chapters_and_texts(spark):
     got = [x.new_row for x in lineage.by_texts(frame(spark, old), frame(spark, new), titles).orderBy("old_row").collect()]
     # 六 is the third line of a chapter that has two left: its last row
     assert got == [0, 0, 2, 4, 4, 6, 8, 10, 11, 11, 11]
+
+
+def test_what_is_kept_of_rows_is_small(spark, monkeypatch):
+    """Checkpoints aren't compressed: of a row no more is kept than the map asks for."""
+    from bookloom.operators import lineage
+
+    kept, keep = [], lineage.checkpointed
+    monkeypatch.setattr(lineage, "checkpointed", lambda df: (kept.append(df), keep(df))[1])
+    old = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "", "b", "c"])], "doc_id long, row long, text string")
+    new = spark.createDataFrame([(1, i, t) for i, t in enumerate(["a", "", "x", "c"])], "doc_id long, row long, text string")
+    got = {tuple(x) for x in lineage.changed_rows(old, new).collect()}
+    assert got == {(1, 0, 0, "same"), (1, 1, 1, "same"), (1, 2, 2, "replaced"), (1, 3, 3, "same")}
+    assert len(kept) == 4 and not any("struct" in kind for df in kept for _, kind in df.dtypes)
+    assert {len(x._key) for x in kept[0].collect()} == {20}
